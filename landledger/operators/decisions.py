@@ -43,7 +43,7 @@ def field_decisions(records: DataFrame, decisions: DataFrame) -> DataFrame:
     REJECTED; a reference is kept, or issued on approval. Keeps ``edits`` for the audit.
     """
     edited = field_edits(records, decisions)
-    after = "filter(edits, e -> e.field = {0})[0].after"
+    after = "get(filter(edits, e -> e.field = {0}), 0).after"
     values = {
         f: F.expr(f"if(exists(edits, e -> e.field = {quoted(f)}), {after.format(quoted(f))}, {f})")
         for f in fixed.RECORD_FIELDS

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from landledger.functions.names import same_place
 from landledger.functions.text import folded, let, name_key, place_key, trim
+from landledger.session import settle
 
 # Names up to this length are blocked by their pieces, longer ones by length.
 PIECE_LIMIT = 48
@@ -144,7 +145,7 @@ def place_pairs(*frames: DataFrame) -> DataFrame:
     Columns: village_key, district_key, other_village, other_district. Each frame must
     carry ``village_key`` and ``district_key``. Both names are matched apart and then
     joined, so a village name found in every district never pairs up across them. The
-    table is small next to the data and read by several joins, so it is kept.
+    table is small next to the data and read by several joins, so it is worked out once.
     """
     places = reduce(
         DataFrame.unionByName, [f.select("village_key", "district_key").distinct() for f in frames]
@@ -159,10 +160,9 @@ def place_pairs(*frames: DataFrame) -> DataFrame:
     known = places.select(
         F.col("village_key").alias("other_village"), F.col("district_key").alias("other_district")
     )
-    return (
+    return settle(
         reached.join(known, ["other_village", "other_district"], "left_semi")
         .select("village_key", "district_key", "other_village", "other_district")
-        .persist()
     )
 
 

@@ -157,6 +157,8 @@ _HEAVY = ("orders", "events")
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table. A table of few files is spread over the cores; a large one is left as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
     cores = spark.sparkContext.defaultParallelism
     if len(df.inputFiles()) < cores and name in _HEAVY:
         return df.repartition(cores)

@@ -151,7 +151,7 @@ VIEWS = {
 
 
 # Tables whose rows feed per-row text work.
-_HEAVY = ("orders", "events")
+_HEAVY = ("orders", "events", "part", "lineitem")
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

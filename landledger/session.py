@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -13,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows here are small and their checks are work, so small shuffles keep their tasks.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -54,3 +58,13 @@ def ship(spark: SparkSession) -> None:
             bundle.write(source, source.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._landledger_shipped = True
+
+
+def pickle_by_value(*modules: str) -> None:
+    """Send the classes of these modules along with the query.
+
+    A stateful processor is also started next to the driver, where shipped archives are
+    not on the path.
+    """
+    for name in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[name])

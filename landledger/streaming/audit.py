@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from landledger.operators.audit import envelope_head, envelope_tail
-from landledger.session import ship
+from landledger.session import pickle_by_value, ship
 
 OUTPUT = "document_id bigint, entry_id bigint, seq bigint, hash string, prev_hash string"
 
@@ -48,6 +48,7 @@ def stream_audit(entries: DataFrame) -> DataFrame:
     the RocksDB state store provider.
     """
     ship(entries.sparkSession)
+    pickle_by_value(__name__)
     prepared = entries.select(
         "document_id", "entry_id", F.expr(envelope_head()).alias("content"), F.expr(envelope_tail()).alias("tail"),
         F.unix_millis("timestamp").alias("at_ms"),

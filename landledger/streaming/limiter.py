@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from landledger.operators.limiter import Window
-from landledger.session import ship
+from landledger.session import pickle_by_value, ship
 
 OUTPUT = "caller string, request_id bigint, at_ms bigint, allowed boolean"
 
@@ -40,6 +40,7 @@ class WindowKeeper(StatefulProcessor):
 def stream_limiter(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
     """Verdict on each request of a stream. Needs the RocksDB state store provider."""
     ship(requests.sparkSession)
+    pickle_by_value(__name__, Window.__module__)
     timed = requests.select("caller", F.unix_millis("at").alias("at_ms"), "request_id")
     return timed.groupBy("caller").transformWithStateInPandas(
         WindowKeeper(limit, window_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="None"

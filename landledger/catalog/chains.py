@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landledger import fixed
 from landledger.catalog import query
-from landledger.catalog.sqlparts import toks
+from landledger.catalog.sqlparts import place, sim, toks
 from landledger.functions import orders as order_words
 from landledger.functions import shares
 from landledger.functions.text import name_tokens
@@ -284,12 +284,13 @@ _CONF = " + ".join(
 _MISSING = " + ".join(f"CAST({f} IS NULL AS BIGINT)" for f in fixed.REQUIRED_ORDER_FIELDS)
 
 
-_PREVIEW = f"""{STANDING.replace(MUT, oracle_with('v_mutations', 'v_orders'))}, read_orders AS (SELECT *, {_READ} AS kind_read, {_WHEN} AS day_read, {_PART} AS share_read FROM (SELECT * FROM v_orders) v),
-proposed AS (SELECT o.parcel_id, -1 AS id, CAST(last_seq + 1 AS BIGINT) AS seq, kind_read AS type, from_owner, to_owner, share_read AS share, mutation_number, day_read AS effective_date
-  FROM read_orders o JOIN (SELECT parcel_id, max(seq) AS last_seq FROM v_mutations GROUP BY parcel_id) m USING (parcel_id)
-  WHERE kind_read IS NOT NULL AND day_read IS NOT NULL AND share_read IS NOT NULL AND to_owner IS NOT NULL),
-preview AS (SELECT parcel_id, id, seq, type, from_owner, to_owner, share, mutation_number, effective_date FROM standing WHERE parcel_id IN (SELECT parcel_id FROM proposed)
-  UNION ALL SELECT * FROM proposed)"""
+_PREVIEW = f"""{STANDING.replace(MUT, oracle_with('v_mutations', 'v_orders'))},
+read_orders AS (SELECT *, {_READ} AS kind_read, {_WHEN} AS day_read, {_PART} AS share_read, {place('village')} AS vk, {place('district')} AS dk FROM v_orders),
+kp AS (SELECT *, {place('village')} AS vk, {place('district')} AS dk FROM v_parcels), pl AS (SELECT DISTINCT vk, dk FROM kp),
+pp AS (SELECT a.vk AS va, a.dk AS da, b.vk AS vb, b.dk AS db FROM pl a, pl b WHERE {sim('a.vk', 'b.vk')} >= 0.85 AND {sim('a.dk', 'b.dk')} >= 0.85),
+placed AS (SELECT o.document_id, min(p.parcel_id) AS of_parcel FROM read_orders o JOIN pp ON o.vk = va AND o.dk = da
+  JOIN kp p ON p.khasra_number = o.khasra_number AND p.vk = vb AND p.dk = db GROUP BY o.document_id),
+latest AS (SELECT parcel_id, max(effective_date) AS latest FROM standing GROUP BY parcel_id)"""
 
 
 @query(f"""{ORD} SELECT document_id, {_MISSING} + CAST({_READ} IS NOT NULL AND from_owner IS NULL AS BIGINT) AS missing,
@@ -306,9 +307,8 @@ def order_preview(spark, sf):
     )
 
 
-@query(f"""{_PREVIEW}, latest_2 AS (SELECT *, max(effective_date) OVER (PARTITION BY parcel_id ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM preview),
-new_found AS (SELECT parcel_id, seq, 'backdated' AS code FROM latest_2 WHERE effective_date < before AND id = -1)
-SELECT p.parcel_id * 8 + 7 AS document_id, count(*) AS backdated_by_order FROM new_found p GROUP BY ALL""")
+@query(f"""{_PREVIEW} SELECT o.document_id, CAST(1 AS BIGINT) AS backdated_by_order FROM read_orders o JOIN placed USING (document_id)
+JOIN latest l ON l.parcel_id = of_parcel WHERE kind_read IS NOT NULL AND share_read IS NOT NULL AND to_owner IS NOT NULL AND day_read < l.latest""")
 def introduced_findings(spark, sf):
     checked = orders.order_preview(
         views.order_readings(spark, sf), views.parcels(spark, sf), views.mutations(spark, sf), NOW

@@ -384,10 +384,10 @@ def map_lookup(spark, sf):
     return cadastral.map_lookup(claims(spark, sf), views.plots(spark, sf)).select("document_id", "has_map", "plot_id")
 
 
-@query(f"""{PLT}, {_OVER}, {_CLAIMS}, n AS (SELECT plot_id, count(*) AS overlaps FROM (SELECT plot_id FROM over UNION ALL SELECT other_id FROM over) z GROUP BY plot_id),
-j AS (SELECT c.document_id, c.village, c.khasra_number, p.plot_id, p.w * p.h / 10000.0::DOUBLE AS map_ha, try_cast(c.plot_area AS DOUBLE) AS record_ha, coalesce(overlaps, 0) AS overlaps
+@query(f"""{PLT}, {_OVER}, {_CLAIMS}, n AS (SELECT plot_id, count(*) AS "overlaps" FROM (SELECT plot_id FROM over UNION ALL SELECT other_id FROM over) z GROUP BY plot_id),
+j AS (SELECT c.document_id, c.village, c.khasra_number, p.plot_id, p.w * p.h / 10000.0::DOUBLE AS map_ha, try_cast(c.plot_area AS DOUBLE) AS record_ha, coalesce("overlaps", 0) AS "overlaps"
   FROM claims c LEFT JOIN v_plots p ON p.district = c.district AND p.village = c.village AND p.khasra = c.khasra_number LEFT JOIN n ON n.plot_id = p.plot_id)
-SELECT document_id, plot_id, overlaps, CASE WHEN village = 'nowhere' OR khasra_number IS NULL THEN 'NO_MAP' WHEN plot_id IS NULL THEN 'NOT_ON_MAP'
-  WHEN coalesce(abs(map_ha - record_ha) / record_ha > 0.02, false) OR overlaps > 0 THEN 'DIFFERS' ELSE 'MATCHES' END AS map_status FROM j""")
+SELECT document_id, plot_id, "overlaps", CASE WHEN village = 'nowhere' OR khasra_number IS NULL THEN 'NO_MAP' WHEN plot_id IS NULL THEN 'NOT_ON_MAP'
+  WHEN coalesce(abs(map_ha - record_ha) / record_ha > 0.02, false) OR "overlaps" > 0 THEN 'DIFFERS' ELSE 'MATCHES' END AS map_status FROM j""")
 def map_check(spark, sf):
     return cadastral.map_check(claims(spark, sf), views.plots(spark, sf)).select("document_id", "plot_id", "overlaps", "map_status")

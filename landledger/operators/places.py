@@ -104,39 +104,31 @@ def _probe_keys(name: str) -> str:
 
 
 def similar_names(names: DataFrame) -> DataFrame:
-    """All ordered pairs (a, b) of similar distinct names, each name with itself included.
+    """All ordered pairs (kind, a, b) of similar distinct names, each with itself included.
 
-    ``names`` has one column, ``name``. Blocking is exact: with k edits allowed on the
-    longer name it is cut into k//2 + 1 pieces, one of which must survive with at most
-    one edit and a shift of at most k. Single-edit pieces are met by dropping one
-    character, so a block only ever holds names that nearly share a piece.
+    ``names`` has kind and name; only names of one kind are paired. Blocking is exact:
+    with k edits allowed on the longer name it is cut into k//2 + 1 pieces, one of which
+    must survive with at most one edit and a shift of at most k. Single-edit pieces are
+    met by dropping one character, so a block only ever holds names that nearly share a
+    piece.
     """
     distinct = names.filter(F.length("name") > 0).distinct()
     short = distinct.filter(F.length("name") <= PIECE_LIMIT)
     long = distinct.filter(F.length("name") > PIECE_LIMIT - 10)
+    similar = f"length(a) <= length(b) and a <> b and {same_place('a', 'b')}"
 
-    index = short.select(F.col("name").alias("b"), F.expr(f"explode({_index_keys('name')})").alias("block"))
-    probe = short.select(F.col("name").alias("a"), F.expr(f"explode({_probe_keys('name')})").alias("block"))
-    close = (
-        probe.join(index, "block")
-        .filter(f"length(a) <= length(b) and a <> b and {same_place('a', 'b')}")
-        .select("a", "b")
-    )
+    index = short.selectExpr("kind", "name as b", f"explode({_index_keys('name')}) as block")
+    probe = short.selectExpr("kind", "name as a", f"explode({_probe_keys('name')}) as block")
+    close = probe.join(index, ["kind", "block"]).filter(similar).select("kind", "a", "b")
 
     # Beyond the limit the pieces get too many; such names are rare, and a band of
     # lengths (with its neighbour) holds every partner.
     band = "int(floor(ln(length(name)) / 0.17D))"
-    long_a = long.selectExpr("name as a", f"explode(array({band}, {band} + 1)) as band")
-    long_b = long.filter(F.length("name") > PIECE_LIMIT).selectExpr("name as b", f"{band} as band")
-    far = (
-        long_a.join(long_b, "band")
-        .filter(f"length(a) <= length(b) and a <> b and {same_place('a', 'b')}")
-        .select("a", "b")
-    )
-    pairs = close.unionByName(far).distinct()
-    return distinct.selectExpr("name as a", "name as b").unionByName(
-        pairs.selectExpr("inline(array(struct(a, b), struct(b as a, a as b)))")
-    ).distinct()
+    long_a = long.selectExpr("kind", "name as a", f"explode(array({band}, {band} + 1)) as band")
+    long_b = long.filter(F.length("name") > PIECE_LIMIT).selectExpr("kind", "name as b", f"{band} as band")
+    far = long_a.join(long_b, ["kind", "band"]).filter(similar).select("kind", "a", "b")
+    both_ways = close.unionByName(far).selectExpr("kind", "inline(array(struct(a, b), struct(b as a, a as b)))")
+    return distinct.selectExpr("kind", "name as a", "name as b").unionByName(both_ways).distinct()
 
 
 def place_pairs(*frames: DataFrame) -> DataFrame:
@@ -147,16 +139,19 @@ def place_pairs(*frames: DataFrame) -> DataFrame:
     joined, so a village name found in every district never pairs up across them. The
     table is small next to the data and read by several joins, so it is worked out once.
     """
-    places = reduce(
-        DataFrame.unionByName, [f.select("village_key", "district_key").distinct() for f in frames]
-    ).filter("village_key <> '' and district_key <> ''").distinct()
-    villages = similar_names(places.select(F.col("village_key").alias("name")))
-    districts = similar_names(places.select(F.col("district_key").alias("name")))
-    reached = places.join(
-        villages.select(F.col("a").alias("village_key"), F.col("b").alias("other_village")), "village_key"
-    ).join(
-        districts.select(F.col("a").alias("district_key"), F.col("b").alias("other_district")), "district_key"
+    # Read the data once; everything after works on the distinct places alone.
+    places = settle(
+        reduce(DataFrame.unionByName, [f.select("village_key", "district_key") for f in frames])
+        .filter("village_key <> '' and district_key <> ''").distinct()
+    )
+    alike = settle(
+        similar_names(
+            places.selectExpr("inline(array(struct('v' as kind, village_key as name), struct('d' as kind, district_key as name)))")
+        )
     )
+    villages = alike.filter("kind = 'v'").selectExpr("a as village_key", "b as other_village")
+    districts = alike.filter("kind = 'd'").selectExpr("a as district_key", "b as other_district")
+    reached = places.join(villages, "village_key").join(districts, "district_key")
     known = places.select(
         F.col("village_key").alias("other_village"), F.col("district_key").alias("other_district")
     )

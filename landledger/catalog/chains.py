@@ -13,6 +13,7 @@ from landledger.functions.text import name_tokens
 from landledger.operators import audit, chain, decisions, limiter, orders
 from landledger.plans import views
 from landledger.plans.views import NOW, oracle_with
+from landledger.session import settle
 
 MUT = oracle_with("v_mutations")
 _DAY = "DATE '1990-01-01' + CAST(effective_day AS INTEGER)"
@@ -212,7 +213,7 @@ SELECT r.parcel_id, coalesce(entries, 0) AS entries, coalesce(critical, 0) AS cr
   CASE WHEN entries IS NULL THEN 'EMPTY' WHEN coalesce(critical, 0) + coalesce(warnings, 0) > 0 THEN 'DEFECTS' ELSE 'CLEAN' END AS chain_status
 FROM registers r LEFT JOIN n USING (parcel_id) LEFT JOIN c USING (parcel_id)""")
 def chain_status(spark, sf):
-    standing = standing_of(spark, sf)
+    standing = settle(standing_of(spark, sf))
     registers = views.base(spark, sf, "orders").selectExpr("o_orderkey * 2 as parcel_id")
     return chain.chain_status(registers, standing, chain.chain_findings(standing, NOW))
 

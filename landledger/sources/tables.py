@@ -35,7 +35,11 @@ def judge_intake(files: DataFrame) -> DataFrame:
 
 
 def scan_intake(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of an upload folder with the verdict on each; contents are not read."""
+    """Files of an upload folder with the verdict on each; contents are not read.
+
+    The file source lists no empty files, so those show only where a manifest of paths
+    and lengths is given to :func:`judge_intake`.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
         .select("path", "length", "modificationTime")

@@ -135,6 +135,31 @@ def duplicate_numbers(standing: DataFrame) -> DataFrame:
     return again.selectExpr(*_register_finding(2, "duplicateNumber", params, {}))
 
 
+def arrival_findings(arrivals: DataFrame, standing: DataFrame, now: str) -> DataFrame:
+    """Register-order findings of entries that would each be the last of a register.
+
+    ``arrivals`` has parcel_id (what the findings are filed under), of_parcel (the
+    register, may be null), seq, effective_date and mutation_number. A last entry changes
+    nothing for those ahead of it, so it is only held against a summary of the register.
+    """
+    latest = standing.groupBy(F.col("parcel_id").alias("of_parcel")).agg(
+        F.expr("max(struct(effective_date as day, -seq as neg)) as latest")
+    )
+    numbers = standing.filter("mutation_number <> ''").groupBy(
+        F.col("parcel_id").alias("of_parcel"), "mutation_number"
+    ).agg(F.expr("struct(min(seq) as seq) as first"))
+    params = {"seq": "seq", "date": "effective_date", "prevSeq": "-latest.neg", "prevDate": "latest.day"}
+    texts = {"date": day_label("effective_date"), "prevDate": day_label("latest.day")}
+    early = arrivals.join(latest, "of_parcel").filter("effective_date < latest.day")
+    again = arrivals.join(numbers, ["of_parcel", "mutation_number"])
+    number = {"number": "mutation_number", "first": "first.seq", "second": "seq"}
+    return union_all([
+        early.selectExpr(*_register_finding(1, "backdated", params, texts)),
+        future_dated(arrivals, now),
+        again.selectExpr(*_register_finding(2, "duplicateNumber", number, {})),
+    ])
+
+
 # --- the replay ----------------------------------------------------------
 
 _PUNCTUATION = re.compile("[.,;:'\"()\\[\\]/\\\\-]")

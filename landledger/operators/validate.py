@@ -10,6 +10,7 @@ from landledger.functions.names import compare_names
 from landledger.functions.text import filled, half_up, leading_number, number_text, quoted
 from landledger.operators.findings import FINDINGS, finding, gather
 from landledger.operators.places import fuzzy_place_join, place_pairs, with_keys
+from landledger.session import settle
 
 # Owner spellings per holding compared in the first pass.
 FIRST_LOOK = 4
@@ -140,8 +141,9 @@ def owner_conflicts(
             )
         )
 
-    # The last spelling of a first look marks a holding that may have more.
-    early = (
+    # The last spelling of a first look marks a holding that may have more. Both what is
+    # settled and what is open is read from the first look, so it is worked out once.
+    early = settle(
         compared(left, ranked.filter(F.col("rank") <= first_look))
         .groupBy("document_id", "my_key", *holding)
         .agg(F.min("hit").alias("hit"), F.expr(f"min(if(rank = {first_look}, first.document_id, null)) as bound"))

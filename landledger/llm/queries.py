@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landledger.llm.decontaminate import benchmark_hits
 from landledger.llm.line_dedup import drop_repeated_lines
 from landledger.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from landledger.llm.shared import table
@@ -12,6 +13,33 @@ from landledger.llm.shared import table
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce({0}, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("""
+with d as (select doc_id, """ + _WORDS.format("text") + """ as w from documents),
+b as (select item_id::varchar as item_id, """ + _WORDS.format("text") + """ as w from benchmark),
+windows as (
+  select distinct item_id, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as x, least(len(w), 10) as n
+  from b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) where len(w) > 0
+), places as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as x
+  from d, (select distinct n from windows) m, unnest(range(1, len(w) - n + 2)) u(i)
+), found as (select p.doc_id, p.i, p.n, w.item_id from places p join windows w using (x, n)),
+hit as (select doc_id, count(distinct k) as n_hit from found, unnest(range(i, i + n)) u(k) group by doc_id),
+named as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as names from found group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(n.n_items, 0)::bigint as n_items,
+  sha256(coalesce(n.names, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from d left join hit h using (doc_id) left join named n using (doc_id)
+""")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return benchmark_hits(docs, items).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query("""
 with lines as (
   select d.doc_id, p.place, string_split(coalesce(d.text, ''), chr(10))[p.place] as line

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from landledger.llm.decontaminate import benchmark_hits
 from landledger.llm.line_dedup import drop_repeated_lines
+from landledger.llm.packing import packed_documents
 from landledger.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from landledger.llm.shared import table
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query()
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce({0}, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 

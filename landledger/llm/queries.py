@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landledger.llm.decontaminate import benchmark_hits
 from landledger.llm.line_dedup import drop_repeated_lines
+from landledger.llm.near_dup import near_duplicates
 from landledger.llm.packing import packed_documents
 from landledger.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from landledger.llm.shared import table
@@ -64,3 +65,23 @@ from judged group by doc_id
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("""
+with recursive w as (
+  select doc_id, regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + """, '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as x
+  from w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) u(i) where len(w) > 0
+), n as (select doc_id, count(*) as n from s group by doc_id),
+both as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b using (x) where a.doc_id <> b.doc_id group by 1, 2),
+link as (
+  select a, b from both join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)
+), reach as (select a, b from link union select r.a, l.b from reach r join link l on l.a = r.b),
+least as (select a, least(a, min(b)) as component_id from reach group by a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(l.component_id, d.doc_id) as component_id,
+  coalesce(l.component_id, d.doc_id) = d.doc_id as kept
+from documents d left join n using (doc_id) left join least l on l.a = d.doc_id
+""")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))

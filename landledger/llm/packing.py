@@ -7,6 +7,10 @@ among the pieces of its length.
 
 from __future__ import annotations
 
+import re
+import struct
+import sys
+import types
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -28,35 +32,61 @@ TOKENIZER = "word_bpe_49k.json"
 KEPT_WORDS = 500_000
 
 
-class Encoder:
-    """Ids of texts by a tokenizer whose words never span a space or line feed.
+def byte_letters() -> dict[int, int]:
+    """The character that stands for a byte in the vocabulary: itself if it is printed, or else the next from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
-    A text is cut there and the ids of its words are looked up; new words are encoded together.
+
+LETTERS = byte_letters()
+
+
+class Encoder(dict):
+    """Ids of texts by a tokenizer that lower-cases and whose words never span a space or line feed.
+
+    Texts are cut there, and before a full stop or comma at the end of a word; the parts met so
+    far are the keys of this dictionary, with their ids as little-endian unsigned 32-bit numbers.
     """
 
+    END = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n])")
+    #: One word as it is, so the rules that cut and normalise words are not needed.
+    PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+
+    def __missing__(self, part: bytes) -> bytes:
+        word = part.decode()
+        if self.PLAIN(word):
+            letters = word if part.isascii() else part.decode("latin-1").translate(LETTERS)
+            ids = [t.id for t in self.model.tokenize(letters)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        raw = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= 64:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[part] = raw
+        return raw
 
     def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = list({p for p in parts if p not in self.known})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        ids = b"".join(map(self.known.__getitem__, parts))
-        for p in new:
-            if len(p) > 64:
-                del self.known[p]
-        return ids
+        raw = text.encode("utf-8", "replace")
+        # Names of special tokens are told apart by case, so such texts stay as they are.
+        raw = raw if b"<|" in raw else raw.lower()
+        parts = self.END.sub(rb" \g<0>", raw).replace(b"\n", b" ").split(b" ")
+        return b"".join(map(self.__getitem__, parts))
+
+
+def worker_encoder(tokenizer: str) -> Encoder:
+    """The encoder of this Python worker, which serves one task after another."""
+    kept = sys.modules.setdefault("_landledger_worker", types.ModuleType("_landledger_worker")).__dict__
+    if tokenizer not in kept:
+        kept[tokenizer] = Encoder(public_tokenizers.path(tokenizer))
+    return kept[tokenizer]
 
 
 def token_pieces(
@@ -72,11 +102,11 @@ def token_pieces(
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = Encoder(public_tokenizers.path(tokenizer)), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encode, end, width = worker_encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = (encode(t.as_py()) if t.is_valid else b"") + end
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encode(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at:at + width]
                     row = (key, piece, at // 4, len(part) // 4, zlib.crc32(part))

@@ -22,8 +22,10 @@ def whole(text):
 
 def test_encoder_cuts_nothing_apart():
     encode, rng = Encoder(PATH), random.Random(3)
-    alphabet = list("abcXYZ019'.,!  \n\n\t\x0b\x1c\xa0̈́éßΣς中国🙂") + ["'s", "'LL ", " ̈", "\r\n", "x" * 80]
+    alphabet = list("abcXYZ019'.,!  \n\n\t\x0b\x1c\xa0̈́éßΣς中国🙂\x01") + ["'s", "'LL ", " ̈", "\r\n", "x" * 80, "a. ", "b.,", "'s.\n", ". .", "<|ENDOFTEXT|>", "<|endoftext|>"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(400)] + [x for x in ODD if x]
+    letters = "abcdefgàçéñöüßÿøþ÷×ÀÉÖ"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(3000)]
     for t in texts + texts:
         assert np.frombuffer(encode(t), "<u4").tolist() == whole(t), repr(t)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landledger.llm import language, rules
 from landledger.llm.decontaminate import benchmark_hits
 from landledger.llm.line_dedup import drop_repeated_lines
 from landledger.llm.near_dup import near_duplicates
@@ -85,3 +86,56 @@ from documents d left join n using (doc_id) left join least l on l.a = d.doc_id
 """)
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    model = language.fit(docs.filter("not held_out"))
+    return language.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_COUNT = "(length({0}) - length(replace({0}, {1}, ''))) // {2}"
+_BARS = " + ".join(_COUNT.format("line", _quoted(x), len(x)) for x in rules.BARS)
+_PHRASES = " or ".join(f"contains(lower(line), {_quoted(x)})" for x in rules.BOILERPLATE)
+_SYMBOLS = "length(regexp_replace({0}, '[^#*$%&|<>]', '', 'g'))"
+_PLAIN_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@query(f"""
+with d as (select doc_id, coalesce(text, '') as text, {_PLAIN_WORDS.format("coalesce(text, '')")} as w from documents),
+windows as (
+  select doc_id, i, array_to_string(w[i:i + {rules.REPEAT - 1}], ' ') as x
+  from d, unnest(range(1, len(w) - {rules.REPEAT - 2})) u(i)
+), twice as (select doc_id, x from windows group by 1, 2 having count(*) > 1),
+repeats as (
+  select doc_id, count(distinct k) as n from windows join twice using (doc_id, x), unnest(range(i, i + {rules.REPEAT})) u(k) group by 1
+), lines as (
+  select doc_id, p, string_split(text, chr(10))[p] as line from d, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(p)
+), counted as (select *, len({_PLAIN_WORDS.format("line")}) as n from lines),
+ruled as (
+  select *, row_number() over (partition by doc_id, line order by p) as copy, n > 0 and (
+    n < {rules.LONG_LINE} and not contains({_quoted(rules.MARKS)}, right(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1))
+    or {_SYMBOLS.format("line")} * 100 > n * {rules.SYMBOL_PERCENT}
+    or ({_BARS}) >= {rules.LEAST_BARS} and n <= ({_BARS} + 1) * {rules.BAR_WORDS + 1}
+    or {_PHRASES}) as fails
+  from counted
+), totals as (
+  select doc_id, count(*) filter (n > 0 and copy > 1) as n_dup_lines, coalesce(sum(n) filter (fails), 0) as lost from ruled group by 1
+), base as (
+  select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, {_SYMBOLS.format("text")}::bigint as n_symbols,
+    t.n_dup_lines::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words, t.lost
+  from d join totals t using (doc_id) left join repeats r using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {rules.LEAST_WORDS} or 100 * n_repeat_words > {rules.REPEAT_PERCENT} * n_words as base_failed,
+  not (n_words < {rules.LEAST_WORDS} or 100 * n_repeat_words > {rules.REPEAT_PERCENT} * n_words)
+    and (n_words - lost) * 100 >= {rules.KEPT_PERCENT} * n_words as kept
+from base
+""")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).drop("text")

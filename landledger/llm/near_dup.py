@@ -14,10 +14,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landledger.llm.shared import UPPER, components, join_on_hot
+from landledger.llm.shared import HOT_SHARE, components, join_on_hot
 from landledger.session import settle
 
 KEPT_VALUES = 128
@@ -30,8 +30,7 @@ GROUP_BITS = 16
 #: Members of a star that are compared in one cell with those of another block.
 BLOCK = 512
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans(UPPER, UPPER.lower())
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -48,11 +47,12 @@ class Shingler:
         self.size, self.kept_words, self.known = size, kept_words, {}
 
     def hashes(self, text: str) -> np.ndarray:
-        words, known = WORD.findall(text.translate(_LOWER)), self.known
+        # Lower-casing bytes changes A-Z alone, and blanks are bytes of their own in UTF-8.
+        words, known = WORD.findall(text.encode("utf-8", "surrogatepass").lower()), self.known
         if len(known) > self.kept_words:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), "uint64", len(words))
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -164,6 +164,28 @@ def listed(sketched: DataFrame, counts: np.ndarray, kept: int = KEPT_VALUES, per
     return sketched.select("c1", "n", "sketch").mapInArrow(run, "value long, node long")
 
 
+def shared_lists(entries: DataFrame, counts: np.ndarray) -> DataFrame:
+    """value, node, once each, of the values that more than one set is listed under.
+
+    Values of groups with more than a ``HOT_SHARE``-th of all are counted before they are
+    joined; there are fewer such groups than that. Of the others none can fill a task, so
+    they are shuffled once and looked at together.
+    """
+    often = [int(g) for g in np.flatnonzero(counts * HOT_SHARE > counts.sum())]
+    hot = F.col("value").bitwiseAND(2**GROUP_BITS - 1).isin(often)
+    of_value = Window.partitionBy("value")
+    cold = (
+        entries.filter(~hot).withColumns({"low": F.min("node").over(of_value), "high": F.max("node").over(of_value)})
+        .filter("low <> high").select("value", "node")
+    )
+    some = entries.filter(hot)
+    counted = settle(
+        some.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+        .filter("low <> high").select("value", "n")
+    )
+    return cold.unionByName(join_on_hot(some, counted, ["value"], "n").select("value", "node")).distinct()
+
+
 def stars(lists: DataFrame) -> DataFrame:
     """leader, node: every set of a list with the leader of the list, both by c1.
 
@@ -239,13 +261,17 @@ class Cell:
 
 
 def links(docs: DataFrame, star: DataFrame, kept: int, percent: int, shingle: int, block: int = BLOCK) -> DataFrame:
-    """a, b: links among the documents of each star (leader, node), enough to join all that are linked.
+    """a, b: links among the documents of each star (leader, node, sized), enough to join all that are linked.
 
+    A star of one member needs no look where the two sizes rule a link out (not ``sized``).
     A star of more than ``block`` members is dealt out: every two blocks meet in a cell of
     their own, with the leader. In a cell only those apart from the leader's part are compared
     with the rest.
     """
-    blocks = star.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = (
+        star.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), (F.max("sized") | (F.count("*") > 1)).alias("open"))
+        .filter("open").drop("open")
+    )
     sized = star.join(blocks, "leader").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     members = sized.select("leader", F.col("node").alias("of"), "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
         "leader", "of", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")
@@ -298,18 +324,15 @@ def near_duplicates(
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = settle(sketches(named, kept, shingle))
     some = sketched.filter("n > 0 and doc_id is not null")
-    classes = settle(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    entries = listed(some, _group_counts(some), kept, percent)
-    shared = settle(
-        entries.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
-        .filter("low <> high").select("value", "n")
-    )
-    lists = settle(join_on_hot(entries, shared, ["value"], "n").select("value", "node").distinct())
+    classes = settle(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
+    counts = _group_counts(some)
+    lists = settle(shared_lists(listed(some, counts, kept, percent), counts))
+    leading = classes.select(F.col("c1").alias("leader"), F.col("rep").alias("leader_doc"), F.col("n").alias("leader_n"))
+    following = classes.select(F.col("c1").alias("node"), F.col("rep").alias("node_doc"), F.col("n").alias("node_n"))
     named_star = (
-        stars(lists)
-        .join(classes.select(F.col("c1").alias("leader"), F.col("rep").alias("leader_doc")), "leader")
-        .join(classes.select(F.col("c1").alias("node"), F.col("rep").alias("node_doc")), "node")
-        .select(F.col("leader_doc").alias("leader"), F.col("node_doc").alias("node")).filter("leader <> node").distinct()
+        stars(lists).join(leading, "leader").join(following, "node")
+        .select(F.col("leader_doc").alias("leader"), F.col("node_doc").alias("node"), F.least("leader_n", "node_n").alias("less"), F.greatest("leader_n", "node_n").alias("more"))
+        .filter("leader <> node").groupBy("leader", "node").agg(F.max(F.col("less") * 100 >= F.col("more") * percent).alias("sized"))
     )
     joined = components(links(named.filter("doc_id is not null"), settle(named_star), kept, percent, shingle))
     # A document whose rows differ has more than one class; they are joined like linked ones.

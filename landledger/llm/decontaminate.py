@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landledger.llm.shared import keyed, lowered
+from landledger.llm.shared import keyed, lowered, only_with, without
 from landledger.session import settle
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -94,8 +94,7 @@ def benchmark_hits(
     # Where a gram of a suspect equals one of an item, the two are laid side by side.
     of_id, of_row = F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")
     again = settle(
-        rows.join(suspects.select(of_id, of_row), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")), "left_semi")
-        .distinct().select("doc_id", "row", words(F.col("text")).alias("words"))
+        only_with(rows, suspects, ["doc_id", "row"]).distinct().select("doc_id", "row", words(F.col("text")).alias("words"))
     )
     offsets = None
     for n in sorted({min(gram, n) for n in lengths} | {gram}):
@@ -156,9 +155,6 @@ def _kept_prints(tests: DataFrame, window: int, gram: int) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without hits, with all their columns."""
-    hit = benchmark_hits(docs, items, doc_id, text, **options).filter("n_hit > 0").select(
-        F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row")
-    ).distinct()
-    whole = docs.select(F.struct("*").alias("rest"), F.col(doc_id).alias("hit_doc"), F.xxhash64(text).alias("hit_hash"))
-    same = F.col("hit_doc").eqNullSafe(F.col("hit_id")) & (F.col("hit_hash") == F.col("hit_row"))
-    return whole.join(hit, same, "left_anti").select("rest.*")
+    hit = settle(benchmark_hits(docs, items, doc_id, text, **options).filter("n_hit > 0").select("doc_id", "row").distinct())
+    whole = docs.select(F.struct("*").alias("rest"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"))
+    return without(whole, hit, ["doc_id", "row"]).select("rest.*")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landledger.llm.shared import HOT_SHARE, components, join_on_hot
+from landledger.llm.shared import HOT_SHARE, components, join_on_hot, only_with, without
 from landledger.session import settle
 
 KEPT_VALUES = 128
@@ -280,7 +280,8 @@ def links(docs: DataFrame, star: DataFrame, kept: int, percent: int, shingle: in
         "leader", F.col("leader").alias("of"), F.lit(-1).alias("own"), "first", F.explode(F.expr("sequence(first, blocks - 1)")).alias("second")
     )
     asked = members.unionByName(heads)
-    texts = docs.join(asked, F.col("doc_id") == F.col("of")).select("leader", "first", "second", "own", "doc_id", "text")
+    named = settle(star.select(F.col("leader").alias("doc_id")).unionByName(star.select(F.col("node").alias("doc_id"))).distinct())
+    texts = only_with(docs, named, ["doc_id"]).join(asked, F.col("doc_id") == F.col("of")).select("leader", "first", "second", "own", "doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
@@ -345,3 +346,10 @@ def near_duplicates(
     return found.unionByName(apart).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with all its columns."""
+    found = near_duplicates(docs, doc_id, text, **options)
+    gone = settle(found.filter("not kept").select("doc_id").distinct())
+    return without(docs.select(F.col(doc_id).alias("doc_id"), F.struct("*").alias("rest")), gone, ["doc_id"]).select("rest.*")

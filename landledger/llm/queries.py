@@ -10,6 +10,7 @@ from landledger.llm.decontaminate import benchmark_hits
 from landledger.llm.line_dedup import drop_repeated_lines
 from landledger.llm.near_dup import near_duplicates
 from landledger.llm.packing import packed_documents
+from landledger.llm.passages import repeated_passages
 from landledger.llm.pii import pseudonymise
 from landledger.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from landledger.llm.shared import table
@@ -145,3 +146,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,3 +126,15 @@ def without(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     marked = _sieved(rows, keys, columns)
     hits = marked.filter("sieve_hit").drop("sieve_hit")
     return marked.filter("not sieve_hit").drop("sieve_hit").unionByName(hits.join(keys.select(*names), same, "left_anti"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read again: compact, and safe from lost executors.
+
+    The folder is spark.checkpoint.dir; a private one is used only where that is unset (tests).
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{shared or tempfile.mkdtemp(prefix='spark-tables-')}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landledger.llm import language, rules
+from landledger.llm.archive import records_of_pages, resolve_revisits
 from landledger.llm.decontaminate import benchmark_hits
 from landledger.llm.line_dedup import drop_repeated_lines
 from landledger.llm.near_dup import near_duplicates
@@ -13,6 +14,7 @@ from landledger.llm.packing import packed_documents
 from landledger.llm.passages import repeated_passages
 from landledger.llm.pii import pseudonymise
 from landledger.llm.registry import ORACLES, QUERIES, query  # noqa: F401
+from landledger.llm.shards import slots_of, write_shards
 from landledger.llm.shared import table
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,3 +153,45 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+_CANONICAL = """
+  regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), ':(80|443)$', ''), '^www\\.', '')
+  || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '')
+  || case when q = '' then '' else '?' || q end
+"""
+
+
+@query(f"""
+with plain as (
+  select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from pages
+), asked as (
+  select *, coalesce(array_to_string(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'),
+    x -> x <> '' and not regexp_full_match(x, '(utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*')), '&'), '') as q from plain
+), named as (
+  select page_id, {_CANONICAL} as canonical_url, '"' || md5(coalesce(html, '')) || '"' as tag, html, strlen(coalesce(html, '')) as n from asked
+), pairs as (
+  select a.page_id, a.canonical_url, a.tag, b.page_id as found, b.tag as old, b.html, b.n,
+    row_number() over (partition by a.page_id order by b.page_id desc) as k
+  from named a left join named b on a.canonical_url = b.canonical_url and b.page_id < a.page_id + 5000
+)
+select page_id * 2 as record_id, canonical_url, page_id as ts, null::bigint as refers_to, 'full' as state, n as n_chars_of_headers, md5(html) as body_md5
+from (select page_id, canonical_url, html, length(tag) + 9 + length(page_id::varchar) + length(n::varchar) as n from named)
+union all
+select page_id * 2 + 1, canonical_url, page_id + 5000, found * 2,
+  case when found is null then 'orphan' when tag = old then 'resolved' else 'stale' end,
+  length(tag) + 2 + length((page_id + 5000)::varchar) + 10 + case when tag = old then 9 + length(n::varchar) else 3 end,
+  case when tag = old then md5(html) end
+from pairs where k = 1
+""")
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = resolve_revisits(records_of_pages(table(spark, sf_dir, "pages")))
+    text = F.array_join(F.map_values("headers"), "")
+    return records.select(
+        "record_id", "canonical_url", "ts", "refers_to", "state", F.char_length(text).cast("long").alias("n_chars_of_headers"), F.md5("body").alias("body_md5")
+    )
+
+
+@query()
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots_of(write_shards(table(spark, sf_dir, "documents")))

@@ -202,18 +202,17 @@ def stars(lists: DataFrame) -> DataFrame:
 
 
 class Cell:
-    """The sets of a cell of a star, leader first: the links that are still missing between its parts."""
-
-    def __init__(self, rows: list[tuple], shingles: Shingler, kept: int, percent: int):
-        self.docs, self.blocks = [r[0] for r in rows], np.array([r[1] for r in rows])
-        sets = [shingles(r[2]) for r in rows]
-        self.sizes, self.percent, self.kept = np.array([len(s) for s in sets]), percent, kept
-        self.whole = self._index(sets)
-        self.short = self._index([s[:kept] for s in sets])
-        self.sketches = [s[:kept] for s in sets]
+    """The sets of a cell of a star, leader first, by their sketches and, if given, as a whole."""
+
+    def __init__(self, docs: list, blocks: list[int], sizes: list[int], sketches: list[np.ndarray], kept: int, percent: int, sets: list[np.ndarray] | None = None):
+        self.docs, self.blocks, self.sizes, self.percent = docs, np.array(blocks), np.array(sizes), percent
+        self.sketches, self.short = sketches, self._index(sketches)
+        self.whole = self._index(sets) if sets else None
         #: Up to here a sketch holds all values of its set.
-        self.reach = np.array([s[kept - 1] if len(s) > kept else np.iinfo("uint64").max for s in sets], "uint64")
-        self.part = np.arange(len(rows))
+        top = np.iinfo("uint64").max
+        self.reach = np.array([s[-1] if n > kept else top for s, n in zip(sketches, sizes)], "uint64")
+        self.part = np.arange(len(docs))
+        self.members = self.part > 0
 
     @staticmethod
     def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -227,51 +226,63 @@ class Cell:
         mark[places[starts[x]:end]] = 1
         return np.add.reduceat(mark[places], starts)
 
-    def near(self, x: int, among: np.ndarray) -> np.ndarray:
-        """Those of ``among`` (a mask) that are linked with x."""
+    def likely(self, x: int, among: np.ndarray) -> np.ndarray:
+        """Those of ``among`` (a mask) that the union of both sketches does not rule out."""
         sizes, n = self.sizes, self.sizes[x]
-        among = among & (np.minimum(sizes, n) * 100 >= self.percent * np.maximum(sizes, n))
-        if not among.any():
-            return np.flatnonzero(among)
-        shared, some = self._shared(self.short, x), np.flatnonzero(among)
+        some = np.flatnonzero(among & (np.minimum(sizes, n) * 100 >= self.percent * np.maximum(sizes, n)))
+        if not len(some):
+            return some
+        shared = self._shared(self.short, x)[some]
         reach = np.minimum(self.reach[some], self.reach[x])
         own = np.searchsorted(self.sketches[x], reach, "right")
         other = np.array([np.searchsorted(self.sketches[y], r, "right") for y, r in zip(some, reach)])
-        some = some[~unlike(shared[some], own + other - shared[some], self.percent)]
+        return some[~unlike(shared, own + other - shared, self.percent)]
+
+    def near(self, x: int, among: np.ndarray) -> np.ndarray:
+        """Those of ``among`` that are linked with x, by their whole sets."""
+        some = self.likely(x, among)
         if not len(some):
             return some
         both = self._shared(self.whole, x)[some]
-        return some[both * 100 >= self.percent * (n + sizes[some] - both)]
-
-    def links(self, first: int, second: int) -> Iterator[tuple[int, int]]:
-        """Links that join parts; first and second are the blocks whose members meet here."""
-        members = np.arange(len(self.docs)) > 0
-        yield from self._join(0, self.near(0, members))
-        for x in np.flatnonzero(members & (self.part != self.part[0])):
-            if first == second:
-                yield from self._join(x, self.near(x, members & (self.part != self.part[x])))
-            else:
-                yield from self._join(x, self.near(x, members & (self.part != self.part[x]) & (self.blocks != self.blocks[x])))
-
-    def _join(self, x: int, near: np.ndarray) -> Iterator[tuple[int, int]]:
+        return some[both * 100 >= self.percent * (self.sizes[x] + self.sizes[some] - both)]
+
+    def _meets(self, x: int, alone: bool) -> np.ndarray:
+        """The members that x meets here: its own block in a cell of one, else the other block."""
+        return self.members if alone else self.members & (self.blocks != self.blocks[x])
+
+    def candidates(self, alone: bool) -> Iterator[object]:
+        """The members that may be linked with the leader or with another member."""
+        seen = np.zeros(len(self.docs), bool)
+        seen[self.likely(0, self.members)] = True
+        for x in np.flatnonzero(self.members & ~seen):
+            some = self.likely(x, self._meets(x, alone))
+            if len(some := some[some != x]):
+                seen[some] = seen[x] = True
+        return (self.docs[x] for x in np.flatnonzero(seen))
+
+    def links(self, alone: bool) -> Iterator[tuple[object, object]]:
+        """Links that join parts. Only those apart from the leader's part are compared with the rest."""
+        yield from self._join(0, self.near(0, self.members))
+        for x in np.flatnonzero(self.members & (self.part != self.part[0])):
+            yield from self._join(x, self.near(x, self._meets(x, alone) & (self.part != self.part[x])))
+
+    def _join(self, x: int, near: np.ndarray) -> Iterator[tuple[object, object]]:
         for y in near:
             if self.part[x] != self.part[y]:
                 self.part[self.part == self.part[y]] = self.part[x]
                 yield self.docs[x], self.docs[y]
 
 
-def links(docs: DataFrame, star: DataFrame, kept: int, percent: int, shingle: int, block: int = BLOCK) -> DataFrame:
-    """a, b: links among the documents of each star (leader, node, sized), enough to join all that are linked.
+def in_cells(
+    rows: DataFrame, star: DataFrame, what: list[str], work: Callable[[tuple, list[tuple]], list[tuple]], names: list[str], block: int = BLOCK
+) -> DataFrame:
+    """work(key, rows) over the cells of each star (leader, node); ``rows`` are doc_id and ``what``.
 
-    A star of one member needs no look where the two sizes rule a link out (not ``sized``).
+    A key is (leader, first, second), a row (block, doc_id, *what), the leader's with block -1.
     A star of more than ``block`` members is dealt out: every two blocks meet in a cell of
-    their own, with the leader. In a cell only those apart from the leader's part are compared
-    with the rest.
+    their own, with the leader. The result has the columns ``names``, whole numbers.
     """
-    blocks = (
-        star.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), (F.max("sized") | (F.count("*") > 1)).alias("open"))
-        .filter("open").drop("open")
-    )
+    blocks = star.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sized = star.join(blocks, "leader").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     members = sized.select("leader", F.col("node").alias("of"), "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
         "leader", "of", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")
@@ -279,33 +290,54 @@ def links(docs: DataFrame, star: DataFrame, kept: int, percent: int, shingle: in
     heads = blocks.select("leader", F.explode(F.expr("sequence(0, blocks - 1)")).alias("first"), "blocks").select(
         "leader", F.col("leader").alias("of"), F.lit(-1).alias("own"), "first", F.explode(F.expr("sequence(first, blocks - 1)")).alias("second")
     )
-    asked = members.unionByName(heads)
-    named = settle(star.select(F.col("leader").alias("doc_id")).unionByName(star.select(F.col("node").alias("doc_id"))).distinct())
-    texts = only_with(docs, named, ["doc_id"]).join(asked, F.col("doc_id") == F.col("of")).select("leader", "first", "second", "own", "doc_id", "text")
+    keys = ["leader", "first", "second"]
+    dealt = rows.join(members.unionByName(heads), F.col("doc_id") == F.col("of")).select(*keys, "own", "doc_id", *what)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(shingle)
-
         def cells() -> Iterator[tuple[tuple, list[tuple]]]:
-            key, rows = None, []
+            key, held = None, []
             for batch in batches:
-                for leader, first, second, own, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    if key != (leader, first, second):
-                        if rows:
-                            yield key, rows
-                        key, rows = (leader, first, second), []
-                    rows.append((doc, own, text))
-            if rows:
-                yield key, rows
-
-        for (_, first, second), rows in cells():
-            found = list(Cell(rows, shingles, kept, percent).links(first, second))
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if key != row[:3]:
+                        if held:
+                            yield key, held
+                        key, held = row[:3], []
+                    held.append(row[3:])
+            if held:
+                yield key, held
 
-    keys = ["leader", "first", "second"]
-    return texts.repartition(*keys).sortWithinPartitions(*keys, "own", "doc_id").mapInArrow(run, "a long, b long")
+        for key, held in cells():
+            if found := work(key, held):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names)
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "own", "doc_id").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def likely_stars(sketched: DataFrame, star: DataFrame, kept: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """The (leader, node) of ``star`` that may be linked within it, by the sketches (doc_id, n, sketch)."""
+
+    def work(key: tuple, rows: list[tuple]) -> list[tuple]:
+        blocks, docs, sizes, raw = zip(*rows)
+        cell = Cell(docs, blocks, sizes, [np.frombuffer(s, "uint64") for s in raw], kept, percent)
+        return [(key[0], doc) for doc in cell.candidates(key[1] == key[2])]
+
+    return in_cells(sketched, star, ["n", "sketch"], work, ["leader", "node"], block).filter("leader <> node").distinct()
+
+
+def links(docs: DataFrame, star: DataFrame, kept: int, percent: int, shingle: int, block: int = BLOCK) -> DataFrame:
+    """a, b: links among the documents (doc_id, text) of each star, enough to join all that are linked."""
+    shingles: list[Shingler] = []
+
+    def work(key: tuple, rows: list[tuple]) -> list[tuple]:
+        if not shingles:
+            shingles.append(Shingler(shingle))
+        blocks, docs, texts = zip(*rows)
+        sets = [shingles[0](t) for t in texts]
+        cell = Cell(docs, blocks, [len(s) for s in sets], [s[:kept] for s in sets], kept, percent, sets)
+        return list(cell.links(key[1] == key[2]))
+
+    named = settle(star.select(F.col("leader").alias("doc_id")).unionByName(star.select(F.col("node").alias("doc_id"))).distinct())
+    return in_cells(only_with(docs, named, ["doc_id"]), star, ["text"], work, ["a", "b"], block)
 
 
 def near_duplicates(
@@ -325,17 +357,17 @@ def near_duplicates(
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = settle(sketches(named, kept, shingle))
     some = sketched.filter("n > 0 and doc_id is not null")
-    classes = settle(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
+    classes = settle(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     counts = _group_counts(some)
     lists = settle(shared_lists(listed(some, counts, kept, percent), counts))
-    leading = classes.select(F.col("c1").alias("leader"), F.col("rep").alias("leader_doc"), F.col("n").alias("leader_n"))
-    following = classes.select(F.col("c1").alias("node"), F.col("rep").alias("node_doc"), F.col("n").alias("node_n"))
-    named_star = (
+    leading = classes.select(F.col("c1").alias("leader"), F.col("rep").alias("leader_doc"))
+    following = classes.select(F.col("c1").alias("node"), F.col("rep").alias("node_doc"))
+    star = settle(
         stars(lists).join(leading, "leader").join(following, "node")
-        .select(F.col("leader_doc").alias("leader"), F.col("node_doc").alias("node"), F.least("leader_n", "node_n").alias("less"), F.greatest("leader_n", "node_n").alias("more"))
-        .filter("leader <> node").groupBy("leader", "node").agg(F.max(F.col("less") * 100 >= F.col("more") * percent).alias("sized"))
+        .select(F.col("leader_doc").alias("leader"), F.col("node_doc").alias("node")).filter("leader <> node").distinct()
     )
-    joined = components(links(named.filter("doc_id is not null"), settle(named_star), kept, percent, shingle))
+    likely = settle(likely_stars(some.select("doc_id", "n", "sketch"), star, kept, percent))
+    joined = components(links(named.filter("doc_id is not null"), likely, kept, percent, shingle))
     # A document whose rows differ has more than one class; they are joined like linked ones.
     grouped = settle(
         classes.join(joined, F.col("rep") == F.col("node"), "left")

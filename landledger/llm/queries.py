@@ -79,9 +79,9 @@ with recursive w as (
   select distinct doc_id, array_to_string(w[i:i + 3], ' ') as x
   from w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) u(i) where len(w) > 0
 ), n as (select doc_id, count(*) as n from s group by doc_id),
-both as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b using (x) where a.doc_id <> b.doc_id group by 1, 2),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b using (x) where a.doc_id <> b.doc_id group by 1, 2),
 link as (
-  select a, b from both join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)
+  select a, b from pair join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)
 ), reach as (select a, b from link union select r.a, l.b from reach r join link l on l.a = r.b),
 least as (select a, least(a, min(b)) as component_id from reach group by a)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(l.component_id, d.doc_id) as component_id,
@@ -166,8 +166,8 @@ _CANONICAL = """
 with plain as (
   select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from pages
 ), asked as (
-  select *, coalesce(array_to_string(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'),
-    x -> x <> '' and not regexp_full_match(x, '(utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*')), '&'), '') as q from plain
+  select *, coalesce(array_to_string([x for x in string_split(regexp_extract(u, '\\?(.*)$', 1), '&')
+    if x <> '' and not regexp_full_match(x, '(utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*')], '&'), '') as q from plain
 ), named as (
   select page_id, {_CANONICAL} as canonical_url, '"' || md5(coalesce(html, '')) || '"' as tag, html, strlen(coalesce(html, '')) as n from asked
 ), pairs as (

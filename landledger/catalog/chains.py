@@ -420,8 +420,8 @@ def latest_approval(spark, sf):
 
 
 @query(f"""{_TAMPERED}, records AS (SELECT DISTINCT user_id AS document_id, 'UP' || upper(substr(sha256(CAST(user_id AS VARCHAR)), 1, 12)) AS ulpin FROM events),
-asked AS (SELECT ulpin AS reference FROM records UNION ALL SELECT 'UP' || user_id FROM events WHERE event_id < 5 UNION ALL SELECT 'UP00000000000' || event_id FROM events WHERE event_id < 5)
-SELECT reference, CASE WHEN NOT regexp_full_match(reference, 'UP[0-9A-F]{{12}}') THEN 'badFormat' WHEN r.document_id IS NULL THEN 'notFound' ELSE 'found' END AS result,
+asked AS (SELECT ulpin AS reference FROM records UNION ALL SELECT 'UP' || user_id FROM events UNION ALL SELECT 'MH' || lpad(CAST(event_id AS VARCHAR), 12, 'Z') FROM events)
+SELECT reference, CASE WHEN NOT regexp_full_match(reference, '[A-Z0-9]{{14}}') THEN 'badFormat' WHEN r.document_id IS NULL THEN 'notFound' ELSE 'found' END AS result,
   intact, entries FROM asked LEFT JOIN records r ON r.ulpin = reference LEFT JOIN verified v ON v.document_id = r.document_id""")
 def record_check(spark, sf):
     entries = events_as_entries(spark, sf)
@@ -429,11 +429,10 @@ def record_check(spark, sf):
     records = entries.select("document_id").distinct().selectExpr(
         "document_id", f"{decisions.reference_id('document_id')} as ulpin", "'VERIFIED' as status"
     )
-    first = entries.filter("entry_id < 5")
     asked = (
         records.selectExpr("ulpin as reference")
-        .unionByName(first.selectExpr("concat('UP', document_id) as reference"))
-        .unionByName(first.selectExpr("concat('UP00000000000', entry_id) as reference"))
+        .unionByName(entries.selectExpr("concat('UP', document_id) as reference"))
+        .unionByName(entries.selectExpr("concat('MH', lpad(cast(entry_id as string), 12, 'Z')) as reference"))
     )
     return audit.record_check(asked, records, trail).select("reference", "result", "intact", "entries")
 

@@ -272,17 +272,22 @@ def local_day(spark, sf):
 
 
 def job_attempts(spark, sf):
-    """A job per user and event type; the events are its attempts, up to the first success."""
-    w = "over (partition by user_id, event_type order by ts, event_id)"
-    return views.base(spark, sf, "events").selectExpr(
-        "concat(user_id, '-', event_type) as job_id", "user_id as document_id", f"row_number() {w} as attempt",
+    """All events of a user and type as attempts: a job is given up after three and ends with a success."""
+    key = "partition by user_id, event_type"
+    turns = views.base(spark, sf, "events").selectExpr(
+        "*", f"count_if(value > 90) over ({key} order by ts, event_id rows between unbounded preceding and 1 preceding) as turn"
+    ).selectExpr("*", f"row_number() over ({key}, turn order by ts, event_id) - 1 as place")
+    return turns.selectExpr(
+        "concat_ws('-', user_id, event_type, turn, place div 3) as job_id", "user_id as document_id", "cast(place % 3 + 1 as int) as attempt",
         "value > 90 as succeeded", "concat('error ', repeat(event_type, 100)) as error",
-    ).filter("attempt <= 3")
+    )
 
 
-_JOBS = """a AS (SELECT user_id || '-' || event_type AS job_id, user_id AS document_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt,
-  value > 90 AS ok, 'error ' || repeat(event_type, 100) AS error FROM events),
-j AS (SELECT job_id, max(document_id) AS document_id, max(attempt) AS attempts, arg_max(ok, attempt) AS ok, arg_max(error, attempt) AS error FROM a WHERE attempt <= 3 GROUP BY job_id),
+_JOBS = """t AS (SELECT *, count(*) FILTER (value > 90) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turn FROM events),
+u AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, turn ORDER BY ts, event_id) - 1 AS place FROM t),
+a AS (SELECT user_id || '-' || event_type || '-' || turn || '-' || (place // 3) AS job_id, user_id AS document_id, place % 3 + 1 AS attempt,
+  value > 90 AS ok, 'error ' || repeat(event_type, 100) AS error FROM u),
+j AS (SELECT job_id, max(document_id) AS document_id, max(attempt) AS attempts, arg_max(ok, attempt) AS ok, arg_max(error, attempt) AS error FROM a GROUP BY job_id),
 jobs AS (SELECT job_id, document_id, attempts, CASE WHEN ok THEN 'DONE' WHEN attempts >= 3 THEN 'FAILED' ELSE 'QUEUED' END AS state,
   CASE WHEN ok THEN NULL ELSE substr(error, 1, 500) END AS error, CASE WHEN NOT ok AND attempts >= 3 THEN 'UPLOADED' END AS document_status FROM j)"""
 

@@ -117,12 +117,12 @@ def same_place(spark, sf):
 
 @query(f"""{records_with()} SELECT a.document_id, b.document_id AS other FROM k a
 JOIN pp ON a.village_key = va AND a.district_key = da
-JOIN k b ON b.khasra_key = a.khasra_key AND b.village_key = vb AND b.district_key = db AND b.document_id % 5 = 0
+JOIN k b ON b.khasra_key = a.khasra_key AND b.village_key = vb AND b.district_key = db
 WHERE a.khasra_key <> ''""")
 def fuzzy_place_join(spark, sf):
     keys = ["khasra_key", "village_key", "district_key"]
     records = places.with_keys(views.records(spark, sf))
-    other = records.filter("document_id % 5 = 0").select(F.col("document_id").alias("other"), *keys)
+    other = records.select(F.col("document_id").alias("other"), *keys)
     left = records.select("document_id", *keys)
     return places.fuzzy_place_join(left, other, pairs=places.place_pairs(left)).select("document_id", "other")
 

@@ -14,8 +14,10 @@ from landledger.functions.text import BLANK, heading_skeleton, let, quoted, patt
 
 FRACTION = "struct<n:bigint,d:bigint>"
 
-# Decimal digits a share may have before bigint arithmetic would overflow.
-_SAFE_DIGITS = 18
+# Decimal places whose power of ten a bigint holds; zeros at the end do not count.
+_MOST_PLACES = 18
+# Divisions that Euclid's algorithm takes for any two bigints at most.
+_EUCLID_STEPS = 93
 
 
 def _spelled_out(value: str) -> str:
@@ -27,9 +29,9 @@ def _spelled_out(value: str) -> str:
 
 
 def _gcd(a: str, b: str) -> str:
-    """Euclid on bigints, folded over more steps than any bigint pair needs."""
+    """Euclid on bigints; the worst pair, two successive Fibonacci numbers, takes 91 divisions."""
     return (
-        f"aggregate(sequence(1, 90), named_struct('a', abs({a}), 'b', abs({b})), "
+        f"aggregate(sequence(1, {_EUCLID_STEPS}), named_struct('a', abs({a}), 'b', abs({b})), "
         "(s, i) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), "
         "s -> if(s.a = 0, 1L, s.a))"
     )
@@ -45,7 +47,10 @@ def reduced(n: str, d: str) -> str:
 
 
 def parse_share(value: str) -> str:
-    """Share as written ("1", "1/2", "0.5", "½") as a fraction; null when it is none."""
+    """Share as written ("1", "1/2", "0.5", "½") as a fraction; null when it is none.
+
+    Numerator and denominator must fit a bigint; decimals lose their zeros at the end first.
+    """
     blanks = f"{BLANK}*"
     slash = f"^([0-9]+){blanks}/{blanks}([0-9]+)\\z"
     decimal = "^([0-9]+)(?:\\.([0-9]+))?\\z"
@@ -53,14 +58,14 @@ def parse_share(value: str) -> str:
     def part(regex: str, group: int) -> str:
         return f"try_cast(regexp_extract(t, {pattern(regex)}, {group}) as bigint)"
 
-    places = f"length(regexp_extract(t, {pattern(decimal)}, 2))"
-    scale = f"cast(rpad('1', {places} + 1, '0') as bigint)"
-    digits = f"try_cast(regexp_replace(t, '[.]', '') as bigint)"
+    tail = f"rtrim('0', regexp_extract(t, {pattern(decimal)}, 2))"
+    scale = f"try_cast(rpad('1', length({tail}) + 1, '0') as bigint)"
+    digits = f"try_cast(concat(regexp_extract(t, {pattern(decimal)}, 1), {tail}) as bigint)"
     return let(
         _spelled_out(value), "t",
         f"case when rlike(t, {pattern(slash)}) then "
         f"if({part(slash, 2)} > 0 and {part(slash, 1)} is not null, {reduced(part(slash, 1), part(slash, 2))}, null) "
-        f"when rlike(t, {pattern(decimal)}) and length(t) <= {_SAFE_DIGITS} then {reduced(digits, scale)} end",
+        f"when rlike(t, {pattern(decimal)}) and length({tail}) <= {_MOST_PLACES} and {digits} is not null then {reduced(digits, scale)} end",
     )
 
 

@@ -12,8 +12,8 @@ from landledger.functions.text import iso_millis
 
 
 def _json(value: str) -> str:
-    """A JSON text with its keys sorted and no spaces; null when absent or not JSON."""
-    return f"coalesce(to_json(try_parse_json({value})), 'null')"
+    """A JSON text with its keys sorted and no spaces; null when absent, and as a JSON string when not JSON."""
+    return f"case when {value} is null then 'null' else coalesce(to_json(try_parse_json({value})), {_text(value)}) end"
 
 
 def _text(value: str) -> str:
@@ -137,9 +137,9 @@ def record_check(references: DataFrame, records: DataFrame, audit: DataFrame) ->
     Columns: reference, result (found / badFormat / notFound), status, approved_at, intact,
     entries. Nothing personal is returned.
     """
-    from landledger.operators.decisions import is_reference
+    from landledger.operators.decisions import has_reference_form
 
-    asked = references.selectExpr("reference", f"{is_reference('reference')} as well_formed")
+    asked = references.selectExpr("reference", f"{has_reference_form('reference')} as well_formed")
     known = (
         asked.filter("well_formed").select("reference").distinct()
         .join(records.select(F.col("ulpin").alias("reference"), "document_id", "status"), "reference")

@@ -15,6 +15,11 @@ def reference_id(key: str) -> str:
     return f"concat('{fixed.STATE_CODE}', upper(substring(sha2(cast({key} as string), 256), 1, 12)))"
 
 
+def has_reference_form(value: str) -> str:
+    """Whether a text could be a reference of any state: 14 capitals and digits."""
+    return f"coalesce(rlike({value}, '^[A-Z0-9]{{14}}$'), false)"
+
+
 def is_reference(value: str) -> str:
     return f"coalesce(rlike({value}, '^{fixed.STATE_CODE}[0-9A-F]{{12}}$'), false)"
 

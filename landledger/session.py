@@ -32,12 +32,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative result with a reliable checkpoint.
 
     The folder comes from ``spark.checkpoint.dir``, which on a cluster names shared
-    storage; a private folder is used only where that is unset (tests).
+    storage; a private folder is used only where that is unset and all runs in one process.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 

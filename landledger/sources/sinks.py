@@ -11,12 +11,15 @@ from landledger.functions.text import iso_millis, leading_number
 def upsert_records(stored: DataFrame, arrivals: DataFrame, key: str = "document_id", version: str = "version") -> DataFrame:
     """Stored rows replaced by newer versions of the same key: the highest version stands.
 
-    Only keys that occur in the arrivals are ranked, and only the top row of a key leaves
-    its partition, so a key with very many versions is trimmed before the shuffle.
+    Stored rows of other keys stay as they are; only keys that occur in the arrivals are
+    ranked. Of equal versions an arrival stands before a stored row.
     """
-    w = Window.partitionBy(key).orderBy(F.desc(version))
-    both = stored.unionByName(arrivals, allowMissingColumns=True)
-    return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    keys = arrivals.select(key).distinct()
+    touched = stored.join(keys, key, "left_semi").withColumn("_new", F.lit(0))
+    both = touched.unionByName(arrivals.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(F.desc(version), F.desc("_new"))
+    newest = both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_new")
+    return stored.join(keys, key, "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
 def drop_other_kind(records: DataFrame, orders: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +42,7 @@ def registry_export(records: DataFrame, documents: DataFrame, approvals: DataFra
     )
     area = leading_number("plot_area")
     payload = (
-        "named_struct('ulpin', ulpin, 'acknowledgementRef', concat('SIM-', ulpin), 'parcel', "
+        "named_struct('ulpin', ulpin, 'parcel', "
         "named_struct('khasraNumber', khasra_number, 'khataNumber', khata_number, 'surveyNumber', survey_number, "
         f"'area', if({area} is null, null, named_struct('value', {area}, 'unit', 'hectare')), "
         "'classification', land_classification), 'location', "

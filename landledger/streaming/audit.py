@@ -17,24 +17,30 @@ OUTPUT = "document_id bigint, entry_id bigint, seq bigint, hash string, prev_has
 
 
 class ChainKeeper(StatefulProcessor):
-    """Keeps the head of each chain and the last entry id, so a replayed entry adds nothing."""
+    """Keeps the head of each chain and the ids entered, so a replayed entry adds nothing.
+
+    A late entry, with a smaller id or an earlier time than the head's, is appended like any other.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "seq bigint, hash string, entry_id bigint")
+        self.head = handle.getValueState("head", "seq bigint, hash string")
+        self.entered = handle.getMapState("entered", "entry_id bigint", "seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, head, last = self.head.get() if self.head.exists() else (-1, None, None)
+        seq, head = self.head.get() if self.head.exists() else (-1, None)
         arrived = pd.concat(rows).sort_values(["at_ms", "entry_id"])
         out = []
         for entry_id, content, tail in arrived[["entry_id", "content", "tail"]].itertuples(index=False):
-            if last is not None and entry_id <= last:
+            entry_id = int(entry_id)
+            if self.entered.containsKey((entry_id,)):
                 continue
             link = "null" if head is None else f'"{head}"'
-            previous, seq, last = head, seq + 1, int(entry_id)
+            previous, seq = head, seq + 1
             head = hashlib.sha256(f"{content}{link}{tail}".encode()).hexdigest()
-            out.append((key[0], last, seq, head, previous))
+            self.entered.updateValue((entry_id,), (seq,))
+            out.append((key[0], entry_id, seq, head, previous))
         if out:
-            self.head.update((seq, head, last))
+            self.head.update((seq, head))
         yield pd.DataFrame(out, columns=["document_id", "entry_id", "seq", "hash", "prev_hash"])
 
     def close(self) -> None:
@@ -44,7 +50,8 @@ class ChainKeeper(StatefulProcessor):
 def stream_audit(entries: DataFrame) -> DataFrame:
     """document_id, entry_id, seq, hash, prev_hash for a stream of entries.
 
-    Entry ids rise within a document, which is what makes a replayed file harmless. Needs
+    An entry is known by its id within the document, which is what makes a replayed file
+    harmless; ids need not rise. Entries of one batch are appended by time and then id. Needs
     the RocksDB state store provider.
     """
     ship(entries.sparkSession)

@@ -143,6 +143,10 @@ def test_every_kind_of_tampering_is_found(spark):
     assert verdict(stored.withColumn("after", F.expr("if(document_id = 1 and seq = 3, '{}', after)"))) == (False, 3, "altered")
     assert verdict(stored.filter("not (document_id = 1 and seq = 3)")) == (False, 4, "unlinked")
     assert verdict(stored.withColumn("hash", F.expr("if(document_id = 1 and seq = 3, null, hash)"))) == (False, 3, "unhashed")
+    # Texts that are not JSON count as they are.
+    loose = audit.audit_append(trail(spark).withColumn("after", F.lit("{not json"))).persist()
+    assert verdict(loose) == (True, None, None)
+    assert verdict(loose.withColumn("after", F.expr("if(document_id = 1 and seq = 3, '{not jsan', after)"))) == (False, 3, "altered")
     # Only the order of keys and spaces differs, so the hash is the same.
     assert verdict(stored.withColumn("after", F.expr("to_json(parse_json(after))"))) == (True, None, None)
 
@@ -195,6 +199,13 @@ def test_streams_equal_their_batch_forms(spark):
 
     batch = audit.audit_append(entries).select("document_id", "entry_id", "seq", "hash", "prev_hash")
     assert drained(stream_audit(source), "audit_out") == {tuple(r) for r in batch.collect()}
+    # Ids fall as time goes on, and the last file brings entries of the first once more.
+    falling = entries.withColumn("entry_id", F.expr("1000 - entry_id"))
+    for n, part in enumerate((falling.filter("entry_id > 900"), falling.filter("entry_id <= 900"), falling.filter("entry_id > 950"))):
+        part.coalesce(1).write.parquet(f"{folder}/falling/part={n}")
+    again = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/falling/*")
+    batch = audit.audit_append(falling).select("document_id", "entry_id", "seq", "hash", "prev_hash")
+    assert drained(stream_audit(again), "falling_out") == {tuple(r) for r in batch.collect()}
     def asked(df):
         return df.selectExpr("cast(document_id as string) as caller", "timestamp as at", "entry_id as request_id")
 

@@ -103,13 +103,23 @@ def follow_the_leader(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: i
 
 
 def fitted_temperature(logits: list[np.ndarray], truth: list[int]) -> float:
-    """The divisor of logits under which the truth is likeliest, between 1/100 and 100."""
-
-    def loss(t: float) -> float:
-        return -sum(float(np.log(softmax(x / t)[y] + 1e-12)) for x, y in zip(logits, truth))
+    """The divisor of logits under which the truth is likeliest, between 1/100 and 100.
 
+    As in Platt's scaling one row more than there are counts as told wrong, spread over the
+    rows, so that a small sample without errors does not make every score 1.
+    """
     if not logits:
         return 1.0
+    wrong = 1 / (len(logits) + 2)
+
+    def loss(t: float) -> float:
+        total = 0.0
+        for x, y in zip(logits, truth):
+            log = np.log(softmax(x / t) + 1e-12)
+            others = (log.sum() - log[y]) / max(len(log) - 1, 1)
+            total -= (1 - wrong) * log[y] + wrong * others
+        return float(total)
+
     grid = np.exp(np.linspace(np.log(0.01), np.log(100), 41))
     best = float(min(grid, key=loss))
     return float(min(best * np.exp(np.linspace(-0.25, 0.25, 21)), key=loss))

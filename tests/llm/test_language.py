@@ -44,6 +44,8 @@ def test_features_and_temperature():
     assert f("...  12 3") is None and f("") is None
     a, b = f("Ab, cd"), f("ab  CD!")
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
-    logits = [np.array([9.0, 0.0]), np.array([9.0, 0.0]), np.array([0.0, 9.0]), np.array([9.0, 0.0])]
-    t = fitted_temperature(logits, [0, 0, 1, 1])
+    logits = [np.array([9.0, 0.0]), np.array([9.0, 0.0]), np.array([0.0, 9.0]), np.array([9.0, 0.0])] * 50
+    t = fitted_temperature(logits, [0, 0, 1, 1] * 50)
     assert abs(softmax(logits[0] / t)[0] - 0.75) < 0.02
+    sure = [np.array([9.0, 0.0])] * 98
+    assert abs(softmax(sure[0] / fitted_temperature(sure, [0] * 98))[0] - 0.99) < 0.002

@@ -7,7 +7,6 @@ read again, so that a lost executor costs the work of one stage at most.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from landledger.llm.decontaminate import drop_contaminated
 from landledger.llm.line_dedup import drop_repeated_lines
 from landledger.llm.near_dup import drop_near_duplicates
 from landledger.llm.packing import packed_documents
-from landledger.session import tune
+from landledger.session import shared_folder, tune
 
 #: Calibrated score below which a language is not told for certain.
 LEAST_SCORE = 0.5
@@ -69,16 +68,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one; a private one only where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared or tempfile.mkdtemp(prefix='spark-pipeline-')}/pipeline-{uuid.uuid4()}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
     tune(spark)
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), _folder(spark)
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

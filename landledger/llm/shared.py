@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landledger.session import settle
+from landledger.session import settle, shared_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Keys with more than one row in this many are joined apart; there are fewer of them than this.
@@ -129,12 +128,8 @@ def without(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the shared folder and read again: compact, and safe from lost executors.
-
-    The folder is spark.checkpoint.dir; a private one is used only where that is unset (tests).
-    """
+    """``df`` written as Parquet below the shared folder and read again: compact, and safe from lost executors."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{shared or tempfile.mkdtemp(prefix='spark-tables-')}/table-{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.parquet(path)

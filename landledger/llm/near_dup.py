@@ -282,8 +282,8 @@ def in_cells(
     A star of more than ``block`` members is dealt out: every two blocks meet in a cell of
     their own, with the leader. The result has the columns ``names``, whole numbers.
     """
-    blocks = star.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    sized = star.join(blocks, "leader").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    blocks = settle(star.groupBy("leader").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    sized = join_on_hot(star, blocks, ["leader"], "n").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     members = sized.select("leader", F.col("node").alias("of"), "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
         "leader", "of", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")
     )

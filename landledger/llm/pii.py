@@ -19,15 +19,17 @@ KEY = "landledger"
 
 # The formats.
 CARD = r"(?<![\d.,+-])\d(?:[ -]?\d){12,18}(?![\d-])"
-PHONE = r"(?<![\d+])\+1[ .-]?\(?[2-9]\d\d\)?[ .-]?[2-9]\d\d[ .-]?\d{4}(?!\d)"
-BARE_PHONE = r"(?<![\d+(])(?:\([2-9]\d\d\) ?|[2-9]\d\d[.-])[2-9]\d\d[.-]\d{4}(?!\d)"
+PHONE = r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+BARE_PHONE = r"(?<![\d+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)"
 SOCIAL = r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ADDRESS = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
 DATE = r"(?<![\d-])[12]\d{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
 DAY_FIRST = r"(?<![\d./])(?:0[1-9]|[12]\d|3[01])[./](?:0[1-9]|1[0-2])[./][12]\d{3}(?![\d./])"
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,}"
-SECRET = r"(?:(?<=password=)|(?<=api_key=)|(?<=token=)|(?<=secret=))[A-Za-z0-9_-]{8,}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+#: A name in any case, then = or : with blanks and quotes around. The first two looks only turn most places away soon.
+NAMED = r"(?=[A-Za-z0-9_-]{8})(?<=[=:][ \t\"']{0,5})(?<=(?i:password|api[_ -]?key|token|secret)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)"
+SECRET = NAMED + r"[A-Za-z0-9_-]{8,}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 KINDS = {
     "mail": MAIL, "secret": SECRET, "date": DATE, "day_first": DAY_FIRST, "address": ADDRESS,
     "social": SOCIAL, "phone": PHONE, "bare_phone": BARE_PHONE, "card": CARD,
@@ -143,12 +145,29 @@ def _card(text: Column, key: str) -> Column:
 
 
 def _phone(text: Column, key: str) -> Column:
+    """Numbers with both codes from 200 up stay such; all others are permuted among themselves."""
     d = F.right(_digits(text), F.lit(10))
-    place = (_long(F.substr(d, F.lit(1), F.lit(3))) - 200) * 800 + _long(F.substr(d, F.lit(4), F.lit(3))) - 200
-    number = permuted(place * 10000 + _long(F.right(d, F.lit(4))), F.lit(640000), F.lit(10000), key, "phone")
-    place = _over(number, F.lit(10000))
-    new = F.concat(
-        (_over(place, F.lit(800)) + 200).cast("string"), (F.pmod(place, F.lit(800)) + 200).cast("string"), _padded(F.pmod(number, F.lit(10000)), 4)
+    area, code, line = [_long(F.substr(d, F.lit(at), F.lit(n))) for at, n in ((1, 3), (4, 3), (7, 4))]
+
+    def put(number: Column, area: Column, code: Column) -> Column:
+        return F.concat(_padded(area, 3), _padded(code, 3), _padded(F.pmod(number, F.lit(10000)), 4))
+
+    def usual(number: Column) -> Column:
+        place = _over(number, F.lit(10000))
+        return put(number, _over(place, F.lit(800)) + 200, F.pmod(place, F.lit(800)) + 200)
+
+    def other(number: Column) -> Column:
+        place = _over(number, F.lit(10000))
+        low, rest = place < 200000, place - 200000
+        return put(
+            number, F.when(low, _over(place, F.lit(1000))).otherwise(_over(rest, F.lit(200)) + 200),
+            F.when(low, F.pmod(place, F.lit(1000))).otherwise(F.pmod(rest, F.lit(200))),
+        )
+
+    high = (area - 200) * 800 + code - 200
+    rest = F.when(area < 200, area * 1000 + code).otherwise(200000 + (area - 200) * 200 + code)
+    new = F.when((area >= 200) & (code >= 200), usual(permuted(high * 10000 + line, F.lit(640000), F.lit(10000), key, "phone"))).otherwise(
+        other(permuted(rest * 10000 + line, F.lit(360000), F.lit(10000), key, "phone_other"))
     )
     return _refilled(text, F.concat(F.when(text.startswith("+1"), "1").otherwise(""), new))
 
@@ -207,7 +226,7 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with pseudonyms in the text, and n_found: the findings looked at.
 
-    Found are mail addresses, secrets after a fixed name, dates, network addresses, social
+    Found are mail addresses, secrets after a fixed name in any case and = or :, dates, network addresses, social
     security, phone and card numbers. Numbers and dates that are not valid stay. Null text stays
     null with 0 found. An input column n_found is replaced, all others stay. No rows give no rows.
     """

@@ -96,3 +96,33 @@ def test_texts(spark):
     assert "9c82e4685ca7e26784" not in rows[n + 4].text and "PTDW4XUFB63SMKLH" not in rows[n + 4].text
     assert rows[n + 5].text == texts[n + 5]
     assert pseudonymise(docs.limit(0)).count() == 0
+
+
+def test_all_phones(spark):
+    rng = random.Random(18)
+    values = [f"+1 ({a:03}) {b:03}-{rng.randrange(10000):04}" for a in (0, 17, 132, 199, 200, 999) for b in (0, 100, 199, 200, 555, 999)]
+    frame = spark.createDataFrame([(i, f"call {v} or {v[3:]}.") for i, v in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonymise(frame).collect()}
+    assert all(v[3:] not in got[i].text and got[i].n_found == 2 for i, v in enumerate(values))
+    new = [re.fullmatch(r"call \+1 (\(\d{3}\) \d{3}-\d{4}) or \1\.", got[i].text).group(1) for i in range(len(values))]
+    usual = lambda v: v[1] >= "2" and v[6] >= "2"
+    assert len(set(new)) == len(values) and all(usual(n) == usual(v[3:]) for n, v in zip(new, values))
+
+
+def test_secrets(spark):
+    secret = "04dbebab9c82e468"
+    forms = ["token = \"{}\"", "TOKEN={}", "Token: '{}'", "\"api_key\": \"{}\"", "PASSWORD :{}", "secret= {}", "token={}", "API-Key = {}"]
+    frame = spark.createDataFrame([(i, f"so {f.format(secret)} ok") for i, f in enumerate(forms)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonymise(frame).collect()}
+    for i, f in enumerate(forms):
+        a, b = f"so {f} ok".split("{}")
+        assert secret not in got[i].text and got[i].text.startswith(a) and got[i].text.endswith(b) and got[i].n_found == 1
+
+
+def test_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    form = r"\+1 \(\d{3}\) \d{3}-\d{4}|(?i:token|secret|password|api_key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_-]{8,})"
+    before = {r.doc_id: r.text for r in docs.filter("text is not null").collect()}
+    after = {r.doc_id: r.text for r in pseudonymise(docs).collect()}
+    found = [(k, m.group(1) or m.group()) for k, t in before.items() for m in re.finditer(form, t)]
+    assert len(found) > 10 and not [x for x in found if x[1] in after[x[0]]]

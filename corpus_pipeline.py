@@ -19,6 +19,8 @@ from landledger.llm.near_dup import drop_near_duplicates
 from landledger.llm.packing import packed_documents
 from landledger.session import shared_folder, tune
 
+#: Words of a shingle by which near-duplicates are told; the query op6_near_dedup has its own.
+SHINGLE = 5
 #: Calibrated score below which a language is not told for certain.
 LEAST_SCORE = 0.5
 
@@ -43,7 +45,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, shingle=SHINGLE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

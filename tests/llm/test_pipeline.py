@@ -75,3 +75,17 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = corpus_pipeline.identify_language(spark, docs, "")
     assert docs.join(kept, "doc_id", "left_anti").filter(F.col("text").rlike("[A-Za-z]{3}")).count() == 0
+
+
+def test_near_duplicates_by_five_words(spark):
+    words = prose(77, 80).split()
+    edited = [*words[:26], "one", *words[27:53], "two", *words[54:]]
+    texts = [" ".join(words), " ".join(edited), " ".join([*words[:40], "one", *words[41:]]), prose(78, 80)]
+
+    def by_hand(size):
+        sets = [{tuple(t.split()[i:i + size]) for i in range(81 - size)} for t in texts]
+        return {i for i, s in enumerate(sets) if not any(100 * len(s & o) >= 80 * len(s | o) for o in sets[:i])}
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()}
+    assert by_hand(4) != by_hand(5) == kept

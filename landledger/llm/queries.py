@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from landledger.llm import language, rules
 from landledger.llm.archive import records_of_pages, resolve_revisits
+from landledger.llm.collocations import collocations
 from landledger.llm.decontaminate import benchmark_hits
+from landledger.llm.infill import fill_in_middle, restored
 from landledger.llm.line_dedup import drop_repeated_lines
 from landledger.llm.near_dup import near_duplicates
 from landledger.llm.packing import packed_documents
@@ -195,3 +197,54 @@ def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots_of(write_shards(table(spark, sf_dir, "documents")))
+
+
+@query("""
+with d as (
+  select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || doc_id::varchar) as h from documents
+), drawn as (
+  select doc_id, t, n, ('0x' || h[1:8])::bigint % (n + 1) as c1, ('0x' || h[9:16])::bigint % (n + 1) as c2,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or ('0x' || h[17:24])::bigint % 100 >= 90 then 'plain'
+      when ('0x' || h[25:32])::bigint % 100 < 20 then 'spm' else 'psm' end as form
+  from d
+), cut as (
+  select *, left(t, least(c1, c2)) as p, substr(t, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) as m, substr(t, greatest(c1, c2) + 1) as s from drawn
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from cut
+""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@query("""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(""" + _LOWER.format("coalesce(text, '')") + """, '[.,;:!?\x0A-\x0D]')) as piece from documents
+), words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+total as (select lang, sum(len(w))::bigint as n from words group by 1),
+found as (
+  select lang, array_to_string(w[i:i + k - 1], ' ') as phrase, k, count(*) as f
+  from words, unnest(range(1, 4)) s(k), unnest(range(1, len(w) - k + 2)) u(i) group by 1, 2, 3
+), wanted as (select lang, phrase, k, f as a, string_split(phrase, ' ') as w from found where k > 1 and f >= 10),
+cuts as (
+  select c.lang, c.phrase, c.a, cut, l.f as l, r.f as r, (1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f) as score
+  from wanted c, unnest(range(1, c.k)) s(cut)
+  join found l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:cut], ' ')
+  join found r on r.lang = c.lang and r.phrase = array_to_string(c.w[cut + 1:], ' ')
+), best as (select *, row_number() over (partition by lang, phrase order by score, cut) as place from cuts),
+inside as (
+  select lang, array_to_string(w[i:i + 1], ' ') as phrase, max(a) as longer from wanted, unnest(range(1, k)) u(i) where k = 3 group by 1, 2
+), ranked as (
+  select b.lang, b.phrase, b.a, b.l, b.r, b.score, row_number() over (partition by b.lang order by b.score desc, b.a desc, encode(b.phrase)) as rank
+  from best b left join inside using (lang, phrase) where place = 1 and not coalesce(100 * longer >= 50 * b.a, false)
+)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))

@@ -18,6 +18,7 @@ from landledger.llm.pii import pseudonymise
 from landledger.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from landledger.llm.shards import slots_of, write_shards
 from landledger.llm.shared import table
+from landledger.llm.syncmers import neighbour_fingerprints
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -248,3 +249,8 @@ select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join t
 """)
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))

@@ -62,10 +62,12 @@ def blocks(batch: pa.RecordBatch, longest: int, size: int = BLOCK) -> Iterator[t
         if not text:
             continue
         raw, skip = text.encode("utf-8", "surrogatepass").translate(_PLAIN), 0
+        old = 0
         while len(raw) > size:
-            at = max(raw.rfind(b" ", 0, size), raw.rfind(b".", 0, size))
-            if at <= 0:
-                ends = [k for k in (raw.find(b" ", size), raw.find(b".", size)) if k > 0]
+            # Past what is repeated, so that every part has something new.
+            at = max(raw.rfind(b" ", old + 1, size), raw.rfind(b".", old + 1, size))
+            if at < 0:
+                ends = [k for k in (raw.find(b" ", max(size, old + 1)), raw.find(b".", max(size, old + 1))) if k > 0]
                 if not ends:
                     break
                 at = min(ends)
@@ -73,7 +75,7 @@ def blocks(batch: pa.RecordBatch, longest: int, size: int = BLOCK) -> Iterator[t
             tail = raw[:at].rsplit(b".", 1)[-1].split()[1 - longest:] if longest > 1 else []
             # A full stop at the cut parts the pieces, so nothing goes on over it.
             tail = [] if raw[at:at + 1] == b"." else tail
-            raw, skip = b" ".join([*tail, raw[at + 1:]]), len(tail)
+            raw, skip, old = b" ".join([*tail, raw[at + 1:]]), len(tail), sum(len(w) + 1 for w in tail)
         if skip or len(raw) > size:
             yield lang, raw, skip
             continue
@@ -293,7 +295,10 @@ class Tally:
 
     def words(self, found: Phrases) -> np.ndarray:
         """The number of every word of the block."""
-        plain = found.raw.replace(b".", b" ")
+        if not len(found.starts):
+            return np.empty(0, "uint64")
+        # A blank at either end would give an empty word.
+        plain = found.raw.replace(b".", b" ").strip(b" ")
         ends = np.array([0, len(plain)], "int64")
         whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(ends), pa.py_buffer(plain)])
         coded = pc.ascii_split_whitespace(whole).values.dictionary_encode()

@@ -53,7 +53,7 @@ def fill_in_middle(
     prefix, suffix, middle = marks
     kind = docs.schema[text].dataType.simpleString()
     news = ("n", "form", "prefix_chars", "middle_chars", "output")
-    rest = [c for c in docs.columns if c not in news]
+    rest = [c for c in docs.columns if c.lower() not in news]
     places = {c: i for i, c in enumerate(rest)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,9 @@ def fill_in_middle(
     if kind != "string":
         raise ValueError(f"{text} must be a string column")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
-    drawn = docs.select(*[F.col(f"`{c}`") for c in rest], *[h.alias(f"_h{i}") for i, h in enumerate(draws(doc_id, seed))])
+    # A name longer than all others clashes with none.
+    own = "h" * max(map(len, docs.columns))
+    drawn = docs.select(*[F.col(f"`{c}`") for c in rest], *[h.alias(f"{own}{i}") for i, h in enumerate(draws(doc_id, seed))])
     return drawn.mapInArrow(run, f"{schema}, n long, form string, prefix_chars long, middle_chars long, output string")
 
 

@@ -22,13 +22,24 @@ CONTRACTS = {
         ("doc_id", "bigint"), ("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean"),
     ],
     "op6_near_dedup": [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")],
+    "op11_fill_in_middle": [
+        ("doc_id", "bigint"), ("n", "bigint"), ("form", "string"), ("prefix_chars", "bigint"), ("middle_chars", "bigint"),
+        ("output_sha256", "string"), ("restored_sha256", "string"),
+    ],
+    "op12_collocations": [
+        ("lang", "string"), ("rank", "bigint"), ("phrase", "string"), ("a", "bigint"), ("l", "bigint"), ("r", "bigint"), ("n", "bigint"), ("score", "bigint"),
+    ],
+    "op13_syncmers": [
+        ("doc_id", "bigint"), ("n_chars", "bigint"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"),
+        ("near_edited", "double"), ("near_next", "double"),
+    ],
     "op10_line_dedup": [("doc_id", "bigint"), ("n_lines", "bigint"), ("n_dropped", "bigint"), ("kept_sha256", "string")],
 }
 
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in llm.QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
     assert set(llm.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 

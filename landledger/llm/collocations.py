@@ -30,7 +30,7 @@ MOST_WORDS = 3
 #: Phrases that a hash partition is made for; it needs a tenth as many counters.
 MASS = 1 << 23
 #: Bytes of text worked on at once, phrases held before they are counted, distinct ones and words held at most.
-BLOCK, HELD, DISTINCT, VOCABULARY = 4 << 20, 4_000_000, 4_000_000, (1 << 21) - (1 << 19)
+BLOCK, HELD, DISTINCT, VOCABULARY = 1 << 20, 2_000_000, 1_500_000, 250_000
 #: Bits of the sieve of survivors: at least, and at most (32 MB) whatever the corpus.
 SIEVE_BITS = (1 << 20, 1 << 28)
 

@@ -94,7 +94,7 @@ def _who(x: str) -> str:
 
 _STATE = (
     "{'h': []::STRUCT(w VARCHAR, p BIGINT)[], 'died': []::VARCHAR[], 'gone': []::VARCHAR[], "
-    "'settled': []::VARCHAR[], 'out': []::STRUCT(seq BIGINT, code VARCHAR)[]}"
+    "'settled': []::VARCHAR[], 'out': []::STRUCT(seq BIGINT, code VARCHAR, x VARCHAR)[]}"
 )
 
 
@@ -106,8 +106,9 @@ def _credit(holders: str, who: str, part: str) -> str:
     )
 
 
-def _flag(code: str) -> str:
-    return f"list_append(s.out, {{'seq': e.seq, 'code': {code}}})"
+def _flag(code: str, amounts: str = "''") -> str:
+    """A finding; ``amounts`` are the shares that its text names."""
+    return f"list_append(s.out, {{'seq': e.seq, 'code': {code}, 'x': {amounts}}})"
 
 
 def _same(**changed: str) -> str:
@@ -119,6 +120,7 @@ _HELD = "list_filter(s.h, lambda z: z.w = e.f)[1].p"
 _REST = "list_filter(s.h, lambda z: z.w <> e.f)"
 _HEIRS = f"list_reduce(e.heirs, lambda hs, x: {_credit('hs', 'x.w', 'x.p')}, {_REST})"
 _TOTAL = "list_sum(list_transform(e.heirs, lambda x: x.p))"
+_AMOUNTS = f"CAST({_TOTAL} AS VARCHAR) || '/' || CAST({_HELD} AS VARCHAR)"
 _LEFT = f"CASE WHEN {_HELD} = e.p THEN {_REST} ELSE list_transform(s.h, lambda z: {{'w': z.w, 'p': z.p - CASE WHEN z.w = e.f THEN e.p ELSE 0 END}}) END"
 _STEP = f"""CASE
   WHEN e.p IS NULL THEN {_same(out=_flag("'unreadableShare'"))}
@@ -128,32 +130,38 @@ _STEP = f"""CASE
   WHEN len(list_filter(s.h, lambda z: z.w = e.f)) = 0 THEN {_same(out=_flag(
       "CASE WHEN list_contains(s.died, e.f) THEN 'deceasedTransferor' WHEN list_contains(s.gone, e.f) THEN 'doubleSale' ELSE 'chainBreak' END"))}
   WHEN e.type = 'INHERITANCE' THEN {_same(h=_HEIRS, died='list_append(s.died, e.f)', settled='list_append(s.settled, e.k)', out=(
-      f"CASE WHEN {_TOTAL} > {_HELD} THEN " + _flag("'sharesExceedWhole'") + f" WHEN {_TOTAL} < {_HELD} THEN " + _flag("'undistributed'") + " ELSE s.out END"))}
-  WHEN e.p > {_HELD} THEN {_same(out=_flag("'overTransfer'"))}
+      f"CASE WHEN {_TOTAL} > {_HELD} THEN " + _flag("'sharesExceedWhole'", _AMOUNTS) + f" WHEN {_TOTAL} < {_HELD} THEN " + _flag("'undistributed'", _AMOUNTS) + " ELSE s.out END"))}
+  WHEN e.p > {_HELD} THEN {_same(out=_flag("'overTransfer'", f"CAST({_HELD} AS VARCHAR)"))}
   ELSE {_same(h=_credit(f'({_LEFT})', 'e.t', 'e.p'), gone=f"CASE WHEN {_HELD} = e.p THEN list_append(s.gone, e.f) ELSE s.gone END")}
 END"""
 
-REPLAY = f"""{STANDING}, parts AS (SELECT *, {_PARTS} AS p, {_who('from_owner')} AS fw, {_who('to_owner')} AS tw FROM standing),
-heirs AS (SELECT parcel_id, from_owner, effective_date, list({{'w': tw, 'p': coalesce(p, 0)}} ORDER BY seq, id) AS heirs
-  FROM parts WHERE type = 'INHERITANCE' AND from_owner IS NOT NULL GROUP BY ALL),
-entries AS (SELECT a.parcel_id, list({{'seq': seq, 'type': type, 'p': p, 'f': CASE WHEN a.from_owner IS NULL THEN NULL ELSE fw END, 't': tw,
+
+def replay_of(standing: str, p: str = "") -> str:
+    """CTEs, their names after ``p``, that replay the registers of ``standing``: findings in order, and holders."""
+    return f"""{p}parts AS (SELECT *, {_PARTS} AS p, {_who('from_owner')} AS fw, {_who('to_owner')} AS tw FROM {standing}),
+{p}heirs AS (SELECT parcel_id, from_owner, effective_date, list({{'w': tw, 'p': coalesce(p, 0)}} ORDER BY seq, id) AS heirs
+  FROM {p}parts WHERE type = 'INHERITANCE' AND from_owner IS NOT NULL GROUP BY ALL),
+{p}entries AS (SELECT a.parcel_id, list({{'seq': seq, 'type': type, 'p': p, 'f': CASE WHEN a.from_owner IS NULL THEN NULL ELSE fw END, 't': tw,
     'k': a.from_owner || '|' || CAST(a.effective_date AS VARCHAR), 'heirs': coalesce(heirs, [])}} ORDER BY a.effective_date, seq, id) AS es
-  FROM parts a LEFT JOIN heirs h ON a.type = 'INHERITANCE' AND h.parcel_id = a.parcel_id AND h.from_owner = a.from_owner AND h.effective_date = a.effective_date
+  FROM {p}parts a LEFT JOIN {p}heirs h ON a.type = 'INHERITANCE' AND h.parcel_id = a.parcel_id AND h.from_owner = a.from_owner AND h.effective_date = a.effective_date
   GROUP BY a.parcel_id),
-opened AS (SELECT parcel_id, es, es[1] AS e0, CASE WHEN es[1].type = 'ORIGINAL' OR es[1].f IS NULL THEN NULL
-    WHEN es[1].type = 'INHERITANCE' THEN list_sum(list_transform(es[1].heirs, lambda x: x.p)) ELSE es[1].p END AS opening FROM entries),
-replayed AS (SELECT parcel_id, list_reduce(es, lambda s, e: {_STEP},
-    CASE WHEN opening > 0 THEN {{'h': [{{'w': e0.f, 'p': CAST(opening AS BIGINT)}}], 'died': []::VARCHAR[], 'gone': []::VARCHAR[], 'settled': []::VARCHAR[], 'out': [{{'seq': e0.seq, 'code': 'titleNotTraced'}}]}}
-         ELSE {_STATE} END) AS st FROM opened),
-over AS (SELECT parcel_id FROM replayed WHERE list_sum(list_transform(st.h, lambda z: z.p)) > {_UNIT}
-  AND len(list_filter(st.out, lambda z: z.code = 'sharesExceedWhole')) = 0),
-replay_found AS (SELECT parcel_id, f.seq AS seq, f.code AS code FROM (SELECT parcel_id, unnest(st.out) AS f FROM replayed) z
-  UNION ALL SELECT parcel_id, NULL, 'sharesExceedWholeTotal' FROM over),
-held AS (SELECT parcel_id, h.w AS who, h.p AS p FROM (SELECT parcel_id, unnest(st.h) AS h FROM replayed) z WHERE h.p <> 0)"""
+{p}opened AS (SELECT parcel_id, es, es[1] AS e0, CASE WHEN es[1].type = 'ORIGINAL' OR es[1].f IS NULL THEN NULL
+    WHEN es[1].type = 'INHERITANCE' THEN list_sum(list_transform(es[1].heirs, lambda x: x.p)) ELSE es[1].p END AS opening FROM {p}entries),
+{p}replayed AS (SELECT parcel_id, list_reduce(es, lambda s, e: {_STEP},
+    CASE WHEN opening > 0 THEN {{'h': [{{'w': e0.f, 'p': CAST(opening AS BIGINT)}}], 'died': []::VARCHAR[], 'gone': []::VARCHAR[], 'settled': []::VARCHAR[], 'out': [{{'seq': e0.seq, 'code': 'titleNotTraced', 'x': ''}}]}}
+         ELSE {_STATE} END) AS st FROM {p}opened),
+{p}over AS (SELECT parcel_id, list_sum(list_transform(st.h, lambda z: z.p)) AS total FROM {p}replayed
+  WHERE total > {_UNIT} AND len(list_filter(st.out, lambda z: z.code = 'sharesExceedWhole')) = 0),
+{p}replay_found AS (SELECT parcel_id, n, f.seq AS seq, f.code AS code, f.x AS x FROM (SELECT parcel_id, unnest(st.out) AS f, unnest(range(len(st.out))) AS n FROM {p}replayed) z
+  UNION ALL SELECT parcel_id, 1000000, NULL, 'sharesExceedWholeTotal', CAST(total AS VARCHAR) FROM {p}over),
+{p}held AS (SELECT parcel_id, h.w AS who, h.p AS p FROM (SELECT parcel_id, unnest(st.h) AS h FROM {p}replayed) z WHERE h.p <> 0)"""
+
+
+REPLAY = f"{STANDING}, {replay_of('standing')}"
 
 _CHAIN = f"""{REPLAY}, latest AS (SELECT *, max(effective_date) OVER (PARTITION BY parcel_id ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
   row_number() OVER (PARTITION BY parcel_id, mutation_number ORDER BY seq, id) AS rn FROM standing),
-all_found AS (SELECT * FROM replay_found
+all_found AS (SELECT parcel_id, seq, code FROM replay_found
   UNION ALL SELECT parcel_id, seq, 'backdated' FROM latest WHERE effective_date < before
   UNION ALL SELECT parcel_id, seq, 'futureDated' FROM latest WHERE effective_date > TIMESTAMP '{NOW}' + INTERVAL 1 DAY
   UNION ALL SELECT parcel_id, seq, 'duplicateNumber' FROM latest WHERE rn > 1)"""
@@ -294,31 +302,53 @@ placed AS (SELECT o.document_id, min(p.parcel_id) AS of_parcel FROM read_orders
 latest AS (SELECT parcel_id, max(effective_date) AS latest FROM standing GROUP BY parcel_id)"""
 
 
-@query(f"""{ORD} SELECT document_id, {_MISSING} + CAST({_READ} IS NOT NULL AND from_owner IS NULL AS BIGINT) AS missing,
-  CAST({_READ} IS NULL AS BIGINT) + CAST(order_date IS NOT NULL AND {_WHEN} IS NULL AS BIGINT) + CAST({_PART} IS NULL AS BIGINT) AS unreadable,
-  {_CONF} AS unsure, {_READ} IS NOT NULL AND {_WHEN} IS NOT NULL AND {_PART} IS NOT NULL AND to_owner IS NOT NULL AS is_candidate FROM v_orders""")
+_CANDIDATE = "kind_read IS NOT NULL AND day_read IS NOT NULL AND share_read IS NOT NULL AND to_owner IS NOT NULL"
+# Every order as the last entry of a register of its own, replayed whole; what the register has without it is taken off.
+_ADDED = f"""{_PREVIEW}, last_places AS (SELECT parcel_id, max(seq) AS last_seq FROM v_mutations GROUP BY parcel_id),
+proposed AS (SELECT document_id, of_parcel, coalesce(last_seq, 0) + 1 AS seq, kind_read AS type, from_owner, to_owner, share_read AS share, mutation_number, day_read
+  FROM read_orders LEFT JOIN placed USING (document_id) LEFT JOIN last_places ON last_places.parcel_id = of_parcel WHERE {_CANDIDATE}),
+apart AS (SELECT p.document_id AS parcel_id, s.id, s.seq, s.type, s.from_owner, s.to_owner, s.share, s.mutation_number, s.effective_date FROM proposed p JOIN standing s ON s.parcel_id = p.of_parcel
+  UNION ALL SELECT document_id, -1, seq, type, from_owner, to_owner, share, mutation_number, day_read FROM proposed),
+{replay_of('standing')}, {replay_of('apart', 'with_')},
+added AS (SELECT w.parcel_id AS document_id, 3 AS phase, w.n, w.code FROM with_replay_found w JOIN proposed p ON p.document_id = w.parcel_id
+  LEFT JOIN (SELECT DISTINCT parcel_id, seq, code, x FROM replay_found) f ON f.parcel_id = p.of_parcel AND f.code = w.code AND coalesce(f.seq, -1) = coalesce(w.seq, -1) AND f.x = w.x
+  WHERE f.code IS NULL
+  UNION ALL SELECT document_id, 1, 0, 'backdated' FROM proposed JOIN latest ON parcel_id = of_parcel WHERE day_read < latest
+  UNION ALL SELECT document_id, 1, 1, 'futureDated' FROM proposed WHERE day_read > TIMESTAMP '{NOW}' + INTERVAL 1 DAY
+  UNION ALL SELECT document_id, 2, 0, 'duplicateNumber' FROM proposed p WHERE EXISTS (SELECT 1 FROM standing s WHERE s.parcel_id = p.of_parcel AND s.mutation_number = p.mutation_number))"""
+
+
+@query(f"""{_ADDED}, chained AS (SELECT document_id, string_agg(replace(code, 'WholeTotal', 'Whole'), ',' ORDER BY phase, n) AS introduced,
+  string_agg(code, ',' ORDER BY code NOT IN ({_CRITICAL}), phase, n) AS chain_codes, count(*) FILTER (code IN ({_CRITICAL})) AS defects, count(*) FILTER (code NOT IN ({_CRITICAL})) AS warnings FROM added GROUP BY 1),
+counted AS (SELECT document_id, {_MISSING} + CAST(kind_read IS NOT NULL AND from_owner IS NULL AS BIGINT) AS missing,
+  CAST(kind_read IS NULL AS BIGINT) + CAST(order_date IS NOT NULL AND day_read IS NULL AS BIGINT) + CAST(share_read IS NULL AS BIGINT) AS unreadable,
+  {_CONF} AS unsure, {_CANDIDATE} AS is_candidate FROM read_orders)
+SELECT document_id, of_parcel AS parcel_id, is_candidate, coalesce(introduced, '') AS introduced, coalesce(chain_codes, '') AS chain_codes,
+  repeat('chainDefect,', coalesce(defects, 0)) || repeat('chainWarning,', coalesce(warnings, 0)) || repeat('missing,', missing) || repeat('range,', unreadable) || repeat('confidence,', unsure) AS kinds,
+  CASE WHEN coalesce(defects, 0) + coalesce(warnings, 0) + missing + unreadable + unsure > 0 THEN 'FLAGGED' ELSE 'PASS' END AS order_status
+FROM counted LEFT JOIN placed USING (document_id) LEFT JOIN chained USING (document_id)""")
 def order_preview(spark, sf):
     checked = orders.order_preview(
         views.order_readings(spark, sf), views.parcels(spark, sf), views.mutations(spark, sf), NOW
     )
-    count = "cast(size(filter(issues, i -> i.kind = '{}')) as bigint)".format
+    chained = "filter(issues, i -> i.kind in ('chainDefect', 'chainWarning'))"
     return checked.selectExpr(
-        "document_id", f"{count('missing')} as missing", f"{count('range')} as unreadable",
-        f"{count('confidence')} as unsure", "is_candidate",
+        "document_id", "parcel_id", "is_candidate", "array_join(introduced, ',') as introduced",
+        f"array_join(transform({chained}, i -> i.code), ',') as chain_codes",
+        "array_join(transform(issues, i -> i.kind || ','), '') as kinds", "order_status",
     )
 
 
-@query(f"""{_PREVIEW} SELECT o.document_id, CAST(1 AS BIGINT) AS backdated_by_order FROM read_orders o JOIN placed USING (document_id)
-JOIN latest l ON l.parcel_id = of_parcel WHERE kind_read IS NOT NULL AND share_read IS NOT NULL AND to_owner IS NOT NULL AND day_read < l.latest""")
+@query(f"""{_ADDED} SELECT p.document_id, p.of_parcel AS parcel_id, w.seq, w.code FROM with_replay_found w JOIN proposed p ON p.document_id = w.parcel_id
+  LEFT JOIN (SELECT DISTINCT parcel_id, seq, code, x FROM replay_found) f ON f.parcel_id = p.of_parcel AND f.code = w.code AND coalesce(f.seq, -1) = coalesce(w.seq, -1) AND f.x = w.x
+WHERE f.code IS NULL""")
 def introduced_findings(spark, sf):
-    checked = orders.order_preview(
-        views.order_readings(spark, sf), views.parcels(spark, sf), views.mutations(spark, sf), NOW
-    )
-    # Of what an order would add, backdating follows from dates alone and is checked here;
-    # the replay's part is tested against brute force on fixtures.
-    return checked.select("document_id", F.explode("introduced").alias("kind")).filter("kind = 'backdated'").groupBy(
-        "document_id"
-    ).agg(F.count("*").alias("backdated_by_order"))
+    readings, registers = views.order_readings(spark, sf), views.mutations(spark, sf)
+    proposed = orders.proposed_entries(orders.placed_orders(readings, views.parcels(spark, sf)), registers)
+    standing = settle(chain.standing_entries(registers))
+    replayed = settle(chain.forked_replay(standing.join(proposed.select("parcel_id").distinct(), "parcel_id", "left_semi"), proposed))
+    after = replayed.filter("row_kind = 'fork'").select("document_id", "parcel_id", "seq", "kind", "code", "issue")
+    return orders.introduced_findings(chain.replay_findings(replayed), after, ["parcel_id"]).select("document_id", "parcel_id", "seq", "code")
 
 
 @query(f"""{ORD}, turns AS (SELECT document_id, parcel_id, row_number() OVER (PARTITION BY parcel_id // 16 ORDER BY document_id) AS turn FROM v_orders),

@@ -8,6 +8,7 @@ entries of a parcel past a small state and gathers at most one day of a parcel.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from datetime import date
 from functools import lru_cache
 
@@ -212,6 +213,86 @@ def _day(d: date) -> str:
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
+class Book:
+    """What stands at a point of a register: holders, who died, who sold out, what was settled today.
+
+    Every map goes from a key to (number, name, ...); numbers rise in the order things came
+    in, which is the order they are looked through.
+    """
+
+    MAPS = ("holders", "died", "left", "settled", "over")
+
+    def __init__(self) -> None:
+        self.maps: dict[str, dict] = {m: {} for m in self.MAPS}
+        self.clock = 0
+        self.journal: list[tuple] | None = None
+
+    def number(self) -> int:
+        self.clock += 1
+        return self.clock
+
+    def get(self, which: str, key):
+        return self.maps[which].get(key)
+
+    def set(self, which: str, key, value: tuple | None) -> None:
+        held = self.maps[which]
+        if self.journal is not None:
+            self.journal.append((which, key, held.get(key), value))
+        if value is None:
+            held.pop(key, None)
+        else:
+            held[key] = value
+
+    def find(self, which: str, name: str):
+        """The first entry whose name is the same person."""
+        return next((v for v in self.maps[which].values() if same_person(v[1], name)), None)
+
+    def credit(self, name: str, share, since: date) -> None:
+        held = self.find("holders", name)
+        number, owner, had, day = held or (self.number(), name, (0, 1), since)
+        self.set("holders", number, (number, owner, plus(had, share), day))
+
+    def note(self, which: str, name: str, *what) -> None:
+        before = self.get(which, name)
+        self.set(which, name, (before[0] if before else self.number(), name, *what))
+
+
+class Fork(Book):
+    """A book that differs from another one in a few places, and follows it everywhere else."""
+
+    def __init__(self, base: Book, document_id: int):
+        self.base, self.document_id = base, document_id
+        self.changed: dict[str, dict] = {m: {} for m in self.MAPS}
+        #: Names that it may see otherwise than the base does.
+        self.names: set[str] = set()
+
+    def number(self) -> int:
+        return self.base.number()
+
+    def get(self, which: str, key):
+        own = self.changed[which]
+        return own[key] if key in own else self.base.get(which, key)
+
+    def set(self, which: str, key, value: tuple | None) -> None:
+        self.names |= {v[1] for v in (value, self.get(which, key)) if v}
+        self.changed[which][key] = value
+
+    def keep(self, which: str, key, before: tuple | None, after: tuple | None) -> None:
+        """The base has changed where this one has not; it stays as it was."""
+        if key not in self.changed[which]:
+            self.names |= {v[1] for v in (before, after) if v}
+            self.changed[which][key] = before
+
+    def find(self, which: str, name: str):
+        own = self.changed[which]
+        place = 0 if which == "holders" else 1
+        best = next((v for v in self.base.maps[which].values() if v[place] not in own and same_person(v[1], name)), None)
+        for v in own.values():
+            if v and (best is None or v[0] < best[0]) and same_person(v[1], name):
+                best = v
+        return best
+
+
 class Register:
     """State of one parcel while its standing entries pass by in (date, seq) order.
 
@@ -223,11 +304,8 @@ class Register:
     def __init__(self, parcel_id: int, steps: bool):
         self.parcel_id, self.steps = parcel_id, steps
         self.today: list[tuple] = []
-        self.holders: list[list] = []  # [owner, share, since]
-        self.died: dict[str, date] = {}
-        self.left: dict[str, tuple[date, str]] = {}
+        self.book = Book()
         self.ord = 0
-        self.over = False
         self.first: date | None = None
         self.last: date | None = None
 
@@ -239,33 +317,27 @@ class Register:
     def finish(self):
         if self.today:
             yield from self._settle_day()
-        total = (0, 1)
-        for h in self.holders:
-            total = plus(total, h[1])
-        if exceeds(total, (1, 1)) > 0 and not self.over:
-            yield self._finding("sharesExceedWhole", None, {"total": shown(total)}, code="sharesExceedWholeTotal")
+        if self.first is None:
+            return
+        total = self._total()
+        if exceeds(total, (1, 1)) > 0 and not self.book.get("over", ""):
+            yield self._finding(self.book, "sharesExceedWhole", None, {"total": shown(total)}, code="sharesExceedWholeTotal")
         now = self._held()
         years = int((self.last - self.first).days / 365.25 * 10 + 0.5) / 10
         yield (self.parcel_id, "end", self.ord, None, None, None, None, None, None, None, now, self.first, self.last, years)
 
+    def _total(self):
+        total = (0, 1)
+        for h in self.book.maps["holders"].values():
+            total = plus(total, h[2])
+        return total
+
     def _held(self):
-        return [{"owner": o, "share": shown(s), "since": d} for o, s, d in self.holders if s[0]]
-
-    def _find(self, name: str):
-        for h in self.holders:
-            if same_person(h[0], name):
-                return h
-        return None
-
-    def _credit(self, name: str, share, since: date) -> None:
-        h = self._find(name)
-        if h:
-            h[1] = plus(h[1], share)
-        else:
-            self.holders.append([name, share, since])
+        return [{"owner": o, "share": shown(s), "since": d} for _, o, s, d in self.book.maps["holders"].values() if s[0]]
 
-    def _finding(self, kind: str, seq, params: dict, texts: dict | None = None, code: str | None = None):
-        self.over = self.over or kind == "sharesExceedWhole"
+    def _finding(self, book: Book, kind: str, seq, params: dict, texts: dict | None = None, code: str | None = None):
+        if kind == "sharesExceedWhole":
+            book.set("over", "", (0, ""))
         params = {k: str(v) for k, v in params.items()}
         said = {**params, **(texts or {})}
         issue = _PLACEHOLDER.sub(lambda m: said[m[1]], fixed.TEXTS[code or kind])
@@ -283,125 +355,220 @@ class Register:
                 self._held(), row[1], None, None,
             )
 
-    def _heirs(self, giver: str) -> list[tuple]:
-        return [r for r in self.today if r[4] == "INHERITANCE" and r[5] == giver]
-
     def _settle_day(self):
-        rows = self.today
+        rows, self.today = self.today, []
         day = rows[0][1]
         self.last = day
         if self.first is None:
             self.first = day
-            yield from self._open(rows[0])
-        settled: set[str] = set()
+            yield from self._open(self.book, rows)
+        self.book.maps["settled"].clear()
         for row in rows:
-            yield from self._apply(row, day, settled)
-        self.today = []
+            found, applied = self._apply(self.book, row, day, rows)
+            yield from found
+            yield from self._step(row, applied)
 
-    def _open(self, row: tuple):
+    def _open(self, book: Book, rows: list[tuple]):
         """A history that begins with a transfer: the seller is presumed to have held it."""
-        _, day, seq, _, kind, giver, _, share = row
+        _, day, seq, _, kind, giver, _, share = rows[0][:8]
         if kind == "ORIGINAL" or not giver:
             return
         if kind == "INHERITANCE":
             opening = (0, 1)
-            for heir in self._heirs(giver):
+            for heir in heirs_of(giver, rows):
                 opening = plus(opening, read_share(heir[7]) or (0, 1))
         else:
             opening = read_share(share)
         if opening and opening[0]:
-            self.holders.append([giver, opening, day])
+            number = book.number()
+            book.set("holders", number, (number, giver, opening, day))
             yield self._finding(
-                "titleNotTraced", seq, {"type": kind, "from": giver},
+                book, "titleNotTraced", seq, {"type": kind, "from": giver},
                 {"type": fixed.TRANSFER_LABELS[kind].lower()},
             )
 
-    def _apply(self, row: tuple, day: date, settled: set[str]):
-        _, _, seq, _, kind, giver, taker, text = row
+    def _apply(self, book: Book, row: tuple, day: date, rows: list[tuple]) -> tuple[list[tuple], bool]:
+        """Findings of an entry, and whether it took effect. ``rows`` are the entries of its day."""
+        _, _, seq, _, kind, giver, taker, text = row[:8]
         share = read_share(text)
         if share is None:
-            yield self._finding("unreadableShare", seq, {"seq": seq, "share": text or ""})
-            yield from self._step(row, False)
-            return
+            return [self._finding(book, "unreadableShare", seq, {"seq": seq, "share": text or ""})], False
         if kind == "ORIGINAL":
-            self._credit(taker, share, day)
-            yield from self._step(row, True)
-            return
+            book.credit(taker, share, day)
+            return [], True
         if not giver:
-            yield self._finding(
-                "missingTransferor", seq, {"seq": seq, "type": kind},
+            return [self._finding(
+                book, "missingTransferor", seq, {"seq": seq, "type": kind},
                 {"type": fixed.TRANSFER_LABELS[kind].lower()},
-            )
-            yield from self._step(row, False)
-            return
-        if kind == "INHERITANCE" and giver in settled:
-            yield from self._step(row, True)
-            return
+            )], False
+        if kind == "INHERITANCE" and book.get("settled", giver):
+            return [], True
 
-        holder = self._find(giver)
+        holder = book.find("holders", giver)
         said = {"from": giver, "share": text, "date": day.isoformat()}
         if holder is None:
-            yield self._no_title(seq, giver, taker, said, day)
-            yield from self._step(row, False)
-            return
+            return [self._no_title(book, seq, giver, taker, said, day)], False
+        number, owner, held, since = holder
 
         if kind == "INHERITANCE":
-            settled.add(giver)
-            heirs = [(h[6], read_share(h[7]) or (0, 1)) for h in self._heirs(giver)]
+            found = []
+            book.note("settled", giver)
+            heirs = [(h[6], read_share(h[7]) or (0, 1)) for h in heirs_of(giver, rows)]
             total = (0, 1)
             for _, part in heirs:
                 total = plus(total, part)
-            held = holder[1]
             if exceeds(total, held) > 0:
-                yield self._finding(
-                    "sharesExceedWhole", seq,
+                found.append(self._finding(
+                    book, "sharesExceedWhole", seq,
                     {"from": giver, "date": day.isoformat(), "total": shown(total), "held": shown(held)},
                     {"date": _day(day)},
-                )
+                ))
             elif exceeds(total, held) < 0:
-                yield self._finding(
-                    "undistributed", seq,
+                found.append(self._finding(
+                    book, "undistributed", seq,
                     {"from": giver, "total": shown(total), "held": shown(held), "left": shown(minus(held, total))},
-                )
-            self.holders = [h for h in self.holders if h is not holder]
-            self.died[giver] = day
+                ))
+            book.set("holders", number, None)
+            book.note("died", giver, day)
             for heir, part in heirs:
-                self._credit(heir, part, day)
-            yield from self._step(row, True)
-            return
+                book.credit(heir, part, day)
+            return found, True
 
-        if exceeds(share, holder[1]) > 0:
-            yield self._finding(
-                "overTransfer", seq,
-                {"from": giver, "share": text, "to": taker, "date": day.isoformat(), "held": shown(holder[1])},
+        if exceeds(share, held) > 0:
+            return [self._finding(
+                book, "overTransfer", seq,
+                {"from": giver, "share": text, "to": taker, "date": day.isoformat(), "held": shown(held)},
                 {"date": _day(day)},
-            )
-            yield from self._step(row, False)
-            return
-        holder[1] = minus(holder[1], share)
-        if not holder[1][0]:
-            self.holders = [h for h in self.holders if h is not holder]
-            self.left[giver] = (day, taker)
-        self._credit(taker, share, day)
-        yield from self._step(row, True)
-
-    def _no_title(self, seq, giver: str, taker: str, said: dict, day: date):
+            )], False
+        rest = minus(held, share)
+        book.set("holders", number, (number, owner, rest, since) if rest[0] else None)
+        if not rest[0]:
+            book.note("left", giver, day, taker)
+        book.credit(taker, share, day)
+        return [], True
+
+    def _no_title(self, book: Book, seq, giver: str, taker: str, said: dict, day: date):
         """Why someone who holds nothing cannot transfer: died, sold already, or never held."""
-        for name, when in self.died.items():
-            if same_person(name, giver):
-                return self._finding(
-                    "deceasedTransferor", seq, {**said, "diedDate": when.isoformat()},
-                    {"date": _day(day), "diedDate": _day(when)},
-                )
-        for name, (when, to) in self.left.items():
-            if same_person(name, giver):
-                return self._finding(
-                    "doubleSale", seq,
-                    {"from": giver, "share": said["share"], "to": taker, "date": said["date"],
-                     "earlierTo": to, "earlierDate": when.isoformat()},
-                    {"date": _day(day), "earlierDate": _day(when)},
-                )
-        return self._finding("chainBreak", seq, said, {"date": _day(day)})
+        if died := book.find("died", giver):
+            return self._finding(
+                book, "deceasedTransferor", seq, {**said, "diedDate": died[2].isoformat()},
+                {"date": _day(day), "diedDate": _day(died[2])},
+            )
+        if sold := book.find("left", giver):
+            _, _, when, to = sold
+            return self._finding(
+                book, "doubleSale", seq,
+                {"from": giver, "share": said["share"], "to": taker, "date": said["date"],
+                 "earlierTo": to, "earlierDate": when.isoformat()},
+                {"date": _day(day), "earlierDate": _day(when)},
+            )
+        return self._finding(book, "chainBreak", seq, said, {"date": _day(day)})
+
+
+def heirs_of(giver: str, rows: list[tuple]) -> list[tuple]:
+    return [r for r in rows if r[4] == "INHERITANCE" and r[5] == giver]
+
+
+class Previews(Register):
+    """A register and, in the same pass, how it would stand with each of some proposed entries.
+
+    Rows have the document of a proposed entry last (null for entries that stand) and come
+    after those that stand on the same day. A proposed entry forks the state at its place. A fork
+    holds what differs from the register as it stands, and takes part in later entries only where these name
+    someone it may see differently; everything else it shares. Findings of forks come as
+    rows of kind ``fork`` with the document.
+    """
+
+    def __init__(self, key: tuple):
+        super().__init__(key[0], False)
+        self.forks: list[Fork] = []
+        #: Names that forks see differently, and which forks.
+        self.seen: dict[str, list[Fork]] = {}
+        self.listed: dict[int, set[str]] = {}
+
+    def feed(self, row: tuple):
+        # The second key tells orders without a register apart.
+        yield from ((*r, None) if len(r) == 14 else r for r in super().feed((row[0], *row[2:])))
+
+    def finish(self):
+        if self.today:
+            yield from self._settle_day()
+        base = self._total()
+        for fork in self.forks:
+            total = base
+            for key, value in fork.changed["holders"].items():
+                had = self.book.get("holders", key)
+                total = minus(plus(total, value[2] if value else (0, 1)), had[2] if had else (0, 1))
+            if exceeds(total, (1, 1)) > 0 and not fork.get("over", ""):
+                yield self._of(fork, self._finding(fork, "sharesExceedWhole", None, {"total": shown(total)}, code="sharesExceedWholeTotal"))
+        yield from ((*r, None) for r in super().finish())
+
+    @staticmethod
+    def _of(fork: Fork, finding: tuple) -> tuple:
+        return (finding[0], "fork", *finding[2:], fork.document_id)
+
+    def _list(self, forks: Iterable[Fork]) -> None:
+        for fork in forks:
+            known = self.listed.setdefault(id(fork), set())
+            for name in fork.names - known:
+                self.seen.setdefault(name, []).append(fork)
+            known |= fork.names
+
+    def _concerned(self, names: set[str]) -> dict[int, Fork]:
+        return {id(f): f for seen, forks in self.seen.items() if any(same_person(seen, n) for n in names) for f in forks}
+
+    def _settle_day(self):
+        today, self.today = self.today, []
+        day = today[0][1]
+        rows = [r for r in today if r[8] is None]
+        proposed = [(r, Fork(self.book, r[8])) for r in today if r[8] is not None]
+        self.book.maps["settled"].clear()
+        for fork in self.forks:
+            fork.changed["settled"].clear()
+        if rows:
+            self.last = day
+        if rows and self.first is None:
+            self.first = day
+            # Forks of earlier days have begun otherwise, and those that add an heir begin with other shares.
+            own = [(r, f) for r, f in proposed if joins(r, rows[0])]
+            for r, fork in own:
+                yield from (self._of(fork, x) for x in self._open(fork, [*rows, r]))
+            yield from self._in_base(lambda: self._open(self.book, rows), [*self.forks, *(f for _, f in own)])
+        elif self.first is None:
+            for r, fork in proposed:
+                yield from (self._of(fork, x) for x in self._open(fork, [r]))
+        self._list([*self.forks, *(f for _, f in proposed)])
+        with_own = {id(f): [*rows, r] for r, f in proposed}
+        for row in rows:
+            names = {n for n in (row[5], row[6]) if n}
+            if row[4] == "INHERITANCE" and row[5]:
+                names |= {h[6] for h in heirs_of(row[5], rows) if h[6]}
+            concerned = self._concerned(names) if self.seen else {}
+            concerned |= {id(f): f for r, f in proposed if joins(r, row)}
+            for fork in concerned.values():
+                found, _ = self._apply(fork, row, day, with_own.get(id(fork), rows))
+                yield from (self._of(fork, x) for x in found)
+            yield from self._in_base(lambda: self._apply(self.book, row, day, rows)[0], concerned.values())
+        for r, fork in proposed:
+            found, _ = self._apply(fork, r, day, [*rows, r])
+            yield from (self._of(fork, x) for x in found)
+        self.forks += [f for _, f in proposed]
+        self._list(f for _, f in proposed)
+
+    def _in_base(self, change, concerned: Iterable[Fork]):
+        """Let the register change, and keep the forks concerned as they have made up their minds."""
+        self.book.journal = []
+        yield from ((*x, None) for x in change())
+        journal, self.book.journal = self.book.journal, None
+        for fork in concerned:
+            for change_ in journal:
+                fork.keep(*change_)
+        self._list(concerned)
+
+
+def joins(proposed: tuple, row: tuple) -> bool:
+    """Whether a proposed entry is one more heir of the same death."""
+    return proposed[4] == row[4] == "INHERITANCE" and proposed[5] == row[5]
 
 
 REPLAY = (
@@ -422,6 +589,24 @@ def chain_replay(standing: DataFrame, steps: bool = False) -> DataFrame:
     )
 
 
+def forked_replay(standing: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Replay every register once, with all that is proposed for it. REPLAY and document_id.
+
+    ``proposed`` has parcel_id (null where there is no register) and document_id besides the
+    columns of an entry. Rows of kind finding are of the register as it stands, rows of kind
+    fork of what would be found in it and with the entry that the document proposes, where
+    the two may differ.
+    """
+    columns = ["effective_date", "seq", "id", "type", "from_owner", "to_owner", "share", "document_id"]
+    rows = standing.withColumn("document_id", F.lit(None).cast("long")).withColumn("alone", F.lit(None).cast("long")).unionByName(
+        proposed.withColumn("alone", F.expr("if(parcel_id is null, document_id, null)")), allowMissingColumns=True
+    )
+    return scan_sorted(
+        rows.select("parcel_id", "alone", *columns).withColumn("seq", F.col("seq").cast("int")), ["parcel_id", "alone"],
+        ["effective_date", F.col("document_id").isNotNull(), "seq", "id", "document_id"], Previews, f"{REPLAY}, document_id bigint",
+    )
+
+
 def replay_findings(replay: DataFrame) -> DataFrame:
     return replay.filter("row_kind = 'finding'").select(
         "parcel_id", F.lit(3).alias("phase"), "ord", "seq", "kind", "severity", "code", "params", "issue"

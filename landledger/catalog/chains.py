@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from landledger import fixed
@@ -34,9 +35,12 @@ def standing_of(spark, sf):
 
 # --- register order ------------------------------------------------------
 
-@query(f"{STANDING} SELECT parcel_id, id, seq, type, CAST(effective_date AS VARCHAR) AS effective_date FROM standing")
+@query(f"""{STANDING} SELECT parcel_id, id, seq, type, CAST(effective_date AS VARCHAR) AS effective_date, true AS stands FROM standing
+UNION ALL SELECT parcel_id, id, seq, type, CAST({_DAY} AS VARCHAR), false FROM v_mutations m WHERE EXISTS (SELECT 1 FROM v_mutations s WHERE s.parcel_id = m.parcel_id AND s.supersedes_id = m.id)""")
 def standing_entries(spark, sf):
-    return standing_of(spark, sf).select("parcel_id", "id", "seq", "type", "effective_date")
+    columns = ["parcel_id", "id", "seq", "type", "effective_date"]
+    replaced = chain.replaced_entries(views.mutations(spark, sf)).select(*columns).withColumn("stands", F.lit(False))
+    return standing_of(spark, sf).select(*columns).withColumn("stands", F.lit(True)).unionByName(replaced)
 
 
 @query(f"{STANDING} SELECT parcel_id, id, CAST(position AS BIGINT) AS position FROM position")
@@ -185,10 +189,24 @@ def holders_current(spark, sf):
     return held.selectExpr("parcel_id", f"{who} as who", f"{_parts_of('share')} as parts")
 
 
-@query(f"{STANDING} SELECT parcel_id, seq, CAST(effective_date AS VARCHAR) AS effective_date, count(*) AS steps FROM standing GROUP BY ALL")
+_APPLIED = f"""CASE WHEN e.p IS NULL THEN false WHEN e.type = 'ORIGINAL' THEN true WHEN e.f IS NULL THEN false
+  WHEN e.type = 'INHERITANCE' AND list_contains(s.settled, e.k) THEN true WHEN len(list_filter(s.h, lambda z: z.w = e.f)) = 0 THEN false
+  WHEN e.type = 'INHERITANCE' THEN true ELSE e.p <= {_HELD} END"""
+_HOLDINGS = "list_sort(list_transform(list_filter({}, lambda z: z.p <> 0), lambda z: z.w || '=' || CAST(z.p AS VARCHAR)))"
+
+
+@query(f"""{REPLAY}, walked AS (SELECT o.parcel_id, list_reduce(es, lambda t, e: list_transform([t.s], lambda s: {{
+    's': {_STEP}, 'steps': list_append(t.steps, {{'seq': e.seq, 'applied': {_APPLIED}, 'after': {_STEP}.h}})}})[1],
+    {{'s': CASE WHEN opening > 0 THEN {{'h': [{{'w': e0.f, 'p': CAST(opening AS BIGINT)}}], 'died': []::VARCHAR[], 'gone': []::VARCHAR[], 'settled': []::VARCHAR[], 'out': []::STRUCT(seq BIGINT, code VARCHAR, x VARCHAR)[]}}
+         ELSE {_STATE} END, 'steps': []::STRUCT(seq BIGINT, applied BOOLEAN, after STRUCT(w VARCHAR, p BIGINT)[])[]}}) AS w FROM opened o),
+steps AS (SELECT parcel_id, unnest(w.steps) AS x, unnest(range(len(w.steps))) AS n FROM walked)
+SELECT parcel_id, n, x.seq AS seq, x.applied AS applied, array_to_string({_HOLDINGS.format('x.after')}, ', ') AS held FROM steps""")
 def holder_steps(spark, sf):
-    # Every standing entry has exactly one step; what each step holds is tested on fixtures.
-    return chain.holder_steps(standing_of(spark, sf)).groupBy("parcel_id", "seq", "effective_date").agg(F.count("*").alias("steps"))
+    steps = chain.holder_steps(standing_of(spark, sf))
+    who = f"array_join(array_sort({name_tokens('h.owner')}), ' ')"
+    held = f"array_join(array_sort(transform(holders, h -> concat({who}, '=', {_parts_of('h.share')}))), ', ')"
+    turn = F.row_number().over(Window.partitionBy("parcel_id").orderBy("ord")) - 1
+    return steps.withColumn("n", turn).selectExpr("parcel_id", "n", "seq", "applied", f"{held} as held")
 
 
 @query(f"""{REPLAY} SELECT parcel_id, CAST(sum(p) AS BIGINT) AS parts, sum(p) > {_UNIT} AS over_whole FROM held GROUP BY parcel_id""")

@@ -38,34 +38,64 @@ def replaced_entries(mutations: DataFrame) -> DataFrame:
     return mutations.join(named, ["parcel_id", "id"], "left_semi")
 
 
+def _followed(jumps: DataFrame) -> DataFrame:
+    """``jumps`` (parcel_id, id, at, done) with ``at`` as far as it leads; rows that never end are not done.
+
+    Every round doubles how far all rows see, so a line of n links takes log2(n) rounds, each a
+    join on single entries. A walk that has taken more links than its parcel has is in a ring.
+    """
+    open_ = jumps.filter("not done").groupBy("parcel_id").agg(F.count("*").alias("n"))
+    longest, reach = open_.agg(F.max("n")).first()[0] or 0, 1
+    while longest and reach <= longest:
+        further = jumps.selectExpr("parcel_id", "id as at", "at as further", "done as ends")
+        jumps = settle(
+            jumps.filter("not done").join(further, ["parcel_id", "at"]).selectExpr("parcel_id", "id", "further as at", "ends as done")
+            .unionByName(jumps.filter("done"))
+        )
+        reach *= 2
+        if jumps.filter("not done").isEmpty():
+            break
+    return jumps
+
+
 def correction_position(mutations: DataFrame) -> DataFrame:
     """id -> place of the original entry a correction goes back to, for corrections only.
 
-    Walks one correction per round; the rounds are as many as the longest line of
-    corrections of corrections, and each handles only the entries still walking. An
-    entry seen twice ends the walk, so a ring of corrections does no harm.
+    The links double in reach from round to round. Where a correction names an entry that
+    is not there, the last entry of the line gives the place. In a ring of corrections every
+    entry keeps its own place; a line that runs into a ring goes once round it, so it
+    takes the place of the entry before the one it came in at.
     """
-    corrections = mutations.filter("supersedes_id is not null")
+    corrections = mutations.filter("supersedes_id is not null").select("parcel_id", "id", "supersedes_id").distinct()
     named = corrections.selectExpr("parcel_id", "supersedes_id as id").distinct()
-    links = mutations.join(named, ["parcel_id", "id"], "left_semi").selectExpr(
-        "parcel_id", "id as cursor", "seq as at_seq", "supersedes_id as next"
+    links = corrections.join(
+        mutations.select("parcel_id", F.col("id").alias("supersedes_id")), ["parcel_id", "supersedes_id"], "left_semi"
     )
-    walking = corrections.selectExpr(
-        "parcel_id", "id", "seq as position", "supersedes_id as cursor", "cast(array() as array<bigint>) as seen"
+    onward = links.selectExpr("parcel_id", "id as at", "true as goes_on").distinct()
+    jumps = settle(
+        links.withColumnRenamed("supersedes_id", "at").join(onward, ["parcel_id", "at"], "left")
+        .selectExpr("parcel_id", "id", "at", "goes_on is null as done")
+    )
+    ends = _followed(jumps)
+    roots = ends.filter("done").selectExpr("parcel_id", "id", "at as root")
+    rings = ends.filter("not done").selectExpr("parcel_id", "at as id").distinct()
+    if not rings.isEmpty():
+        rings = settle(rings)
+        inside = jumps.join(rings, ["parcel_id", "id"], "left_semi")
+        into = ends.filter("not done").select("parcel_id", "id").join(rings, ["parcel_id", "id"], "left_anti")
+        entered = jumps.join(into, ["parcel_id", "id"], "left_semi").drop("done").join(
+            rings.selectExpr("parcel_id", "id as at", "true as in_ring"), ["parcel_id", "at"], "left"
+        ).selectExpr("parcel_id", "id", "at", "in_ring is not null as done")
+        before = inside.selectExpr("parcel_id", "at", "id as root")
+        roots = union_all([
+            roots, rings.selectExpr("parcel_id", "id", "id as root"),
+            _followed(settle(entered)).join(before, ["parcel_id", "at"]).select("parcel_id", "id", "root"),
+        ])
+    places = mutations.selectExpr("parcel_id", "id as root", "seq as position")
+    return (
+        corrections.join(roots, ["parcel_id", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+        .join(places, ["parcel_id", "root"]).select("parcel_id", "id", "position")
     )
-    done = []
-    while True:
-        step = settle(
-            walking.join(links, ["parcel_id", "cursor"], "left").selectExpr(
-                "parcel_id", "id", "coalesce(at_seq, position) as position", "next as cursor",
-                "array_append(seen, cursor) as seen",
-                "at_seq is null or next is null or array_contains(array_append(seen, cursor), next) as done",
-            )
-        )
-        done.append(step.filter("done").select("parcel_id", "id", "position"))
-        walking = step.filter("not done").drop("done")
-        if walking.isEmpty():
-            return union_all(done)
 
 
 def standing_entries(mutations: DataFrame) -> DataFrame:

@@ -80,6 +80,41 @@ def test_correction_takes_the_place_it_restates(spark):
     assert chain.standing_entries(spark.createDataFrame(ring, ENTRY)).count() == 0
 
 
+def walked(rows):
+    """Places by a walk from every correction, one link at a time."""
+    by_id = {(r[0], r[1]): r for r in rows}
+    out = {}
+    for r in rows:
+        if r[9] is None:
+            continue
+        place, cursor, seen = r[2], by_id.get((r[0], r[9])), set()
+        while cursor and cursor[1] not in seen:
+            seen.add(cursor[1])
+            place = cursor[2]
+            cursor = by_id.get((r[0], cursor[9]))
+        out[r[0], r[1]] = place
+    return out
+
+
+def test_correction_places_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(1, n, n, "SALE", "a", "b", "1", None, date(2000, 1, 1), n - 1 if n > 1 else None) for n in range(1, 1002)]
+    # Lines that cross, end at an entry that is not there, and run into rings of one, two and five.
+    for parcel in range(2, 40):
+        n = rng.randrange(1, 30)
+        rows += [(parcel, k, 100 - k, "SALE", "a", "b", "1", None, date(2000, 1, 1), rng.choice([None, k - 1, rng.randrange(n + 3), rng.randrange(n)])) for k in range(n)]
+    rows += [(50, k, k, "SALE", "a", "b", "1", None, date(2000, 1, 1), to) for k, to in enumerate([0, 2, 1, 1, 3, 4, 7, 8, 9, 10, 6, 6, 11, None, 99])]
+    rounds = []
+    plain = chain.settle
+    monkeypatch.setattr(chain, "settle", lambda df: rounds.append(1) or plain(df))
+    lines = spark.createDataFrame([r for r in rows if r[0] == 1], ENTRY)
+    got = {(r.parcel_id, r.id): r.position for r in chain.correction_position(lines).collect()}
+    assert got == walked([r for r in rows if r[0] == 1]) and len(rounds) <= 12
+    got = {(r.parcel_id, r.id): r.position for r in chain.correction_position(spark.createDataFrame(rows, ENTRY)).collect()}
+    assert got == walked(rows)
+    assert chain.correction_position(lines.limit(0)).count() == 0
+
+
 def test_backdating_over_a_long_register(spark):
     rng = random.Random(5)
     rows = [(1, n, n, "ORIGINAL", None, "x", "0", None, date(1990, 1, 1) + timedelta(days=rng.randint(0, 4000)), None) for n in range(1, 9001)]

@@ -41,4 +41,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from landledger.catalog import chains, figures, pages, records  # noqa: F401
+    from landledger.catalog import chains, figures, pages, records, scores  # noqa: F401

@@ -163,13 +163,13 @@ def replay_of(standing: str, p: str = "") -> str:
 
 REPLAY = f"{STANDING}, {replay_of('standing')}"
 
-_CHAIN = f"""{REPLAY}, latest AS (SELECT *, max(effective_date) OVER (PARTITION BY parcel_id ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+CHAIN = f"""{REPLAY}, latest AS (SELECT *, max(effective_date) OVER (PARTITION BY parcel_id ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
   row_number() OVER (PARTITION BY parcel_id, mutation_number ORDER BY seq, id) AS rn FROM standing),
 all_found AS (SELECT parcel_id, seq, code FROM replay_found
   UNION ALL SELECT parcel_id, seq, 'backdated' FROM latest WHERE effective_date < before
   UNION ALL SELECT parcel_id, seq, 'futureDated' FROM latest WHERE effective_date > TIMESTAMP '{NOW}' + INTERVAL 1 DAY
   UNION ALL SELECT parcel_id, seq, 'duplicateNumber' FROM latest WHERE rn > 1)"""
-_CRITICAL = ", ".join(f"'{k}'" for k, v in {**fixed.SEVERITY, "sharesExceedWholeTotal": "critical"}.items() if v == "critical")
+CRITICAL = ", ".join(f"'{k}'" for k, v in {**fixed.SEVERITY, "sharesExceedWholeTotal": "critical"}.items() if v == "critical")
 
 
 @query(f"{REPLAY} SELECT parcel_id, seq, code FROM replay_found")
@@ -233,7 +233,7 @@ def owner_vs_chain(spark, sf):
     return found.selectExpr("document_id", "issues[0].code as code")
 
 
-@query(f"""{_CHAIN}, c AS (SELECT parcel_id, count(*) FILTER (code IN ({_CRITICAL})) AS critical, count(*) FILTER (code NOT IN ({_CRITICAL})) AS warnings FROM all_found GROUP BY parcel_id),
+@query(f"""{CHAIN}, c AS (SELECT parcel_id, count(*) FILTER (code IN ({CRITICAL})) AS critical, count(*) FILTER (code NOT IN ({CRITICAL})) AS warnings FROM all_found GROUP BY parcel_id),
 n AS (SELECT parcel_id, count(*) AS entries FROM standing GROUP BY parcel_id), registers AS (SELECT DISTINCT o_orderkey * 2 AS parcel_id FROM orders)
 SELECT r.parcel_id, coalesce(entries, 0) AS entries, coalesce(critical, 0) AS critical, coalesce(warnings, 0) AS warnings,
   CASE WHEN entries IS NULL THEN 'EMPTY' WHEN coalesce(critical, 0) + coalesce(warnings, 0) > 0 THEN 'DEFECTS' ELSE 'CLEAN' END AS chain_status
@@ -311,7 +311,7 @@ _CONF = " + ".join(
 _MISSING = " + ".join(f"CAST({f} IS NULL AS BIGINT)" for f in fixed.REQUIRED_ORDER_FIELDS)
 
 
-_PREVIEW = f"""{STANDING.replace(MUT, oracle_with('v_mutations', 'v_orders'))},
+PREVIEW = f"""{STANDING.replace(MUT, oracle_with('v_mutations', 'v_orders'))},
 read_orders AS (SELECT *, {_READ} AS kind_read, {_WHEN} AS day_read, {_PART} AS share_read, {place('village')} AS vk, {place('district')} AS dk FROM v_orders),
 kp AS (SELECT *, {place('village')} AS vk, {place('district')} AS dk FROM v_parcels), pl AS (SELECT DISTINCT vk, dk FROM kp),
 pp AS (SELECT a.vk AS va, a.dk AS da, b.vk AS vb, b.dk AS db FROM pl a, pl b WHERE {sim('a.vk', 'b.vk')} >= 0.85 AND {sim('a.dk', 'b.dk')} >= 0.85),
@@ -322,7 +322,7 @@ latest AS (SELECT parcel_id, max(effective_date) AS latest FROM standing GROUP B
 
 _CANDIDATE = "kind_read IS NOT NULL AND day_read IS NOT NULL AND share_read IS NOT NULL AND to_owner IS NOT NULL"
 # Every order as the last entry of a register of its own, replayed whole; what the register has without it is taken off.
-_ADDED = f"""{_PREVIEW}, last_places AS (SELECT parcel_id, max(seq) AS last_seq FROM v_mutations GROUP BY parcel_id),
+_ADDED = f"""{PREVIEW}, last_places AS (SELECT parcel_id, max(seq) AS last_seq FROM v_mutations GROUP BY parcel_id),
 proposed AS (SELECT document_id, of_parcel, coalesce(last_seq, 0) + 1 AS seq, kind_read AS type, from_owner, to_owner, share_read AS share, mutation_number, day_read
   FROM read_orders LEFT JOIN placed USING (document_id) LEFT JOIN last_places ON last_places.parcel_id = of_parcel WHERE {_CANDIDATE}),
 apart AS (SELECT p.document_id AS parcel_id, s.id, s.seq, s.type, s.from_owner, s.to_owner, s.share, s.mutation_number, s.effective_date FROM proposed p JOIN standing s ON s.parcel_id = p.of_parcel
@@ -337,7 +337,7 @@ added AS (SELECT w.parcel_id AS document_id, 3 AS phase, w.n, w.code FROM with_r
 
 
 @query(f"""{_ADDED}, chained AS (SELECT document_id, string_agg(replace(code, 'WholeTotal', 'Whole'), ',' ORDER BY phase, n) AS introduced,
-  string_agg(code, ',' ORDER BY code NOT IN ({_CRITICAL}), phase, n) AS chain_codes, count(*) FILTER (code IN ({_CRITICAL})) AS defects, count(*) FILTER (code NOT IN ({_CRITICAL})) AS warnings FROM added GROUP BY 1),
+  string_agg(code, ',' ORDER BY code NOT IN ({CRITICAL}), phase, n) AS chain_codes, count(*) FILTER (code IN ({CRITICAL})) AS defects, count(*) FILTER (code NOT IN ({CRITICAL})) AS warnings FROM added GROUP BY 1),
 counted AS (SELECT document_id, {_MISSING} + CAST(kind_read IS NOT NULL AND from_owner IS NULL AS BIGINT) AS missing,
   CAST(kind_read IS NULL AS BIGINT) + CAST(order_date IS NOT NULL AND day_read IS NULL AS BIGINT) + CAST(share_read IS NULL AS BIGINT) AS unreadable,
   {_CONF} AS unsure, {_CANDIDATE} AS is_candidate FROM read_orders)
@@ -385,19 +385,29 @@ def register_position(spark, sf):
 _READABLE = f"{_READ} IS NOT NULL AND {_WHEN} IS NOT NULL AND {_PART} IS NOT NULL AND to_owner IS NOT NULL"
 
 
-@query(f"""{ORD}, d AS (SELECT *, CASE WHEN document_id % 50 = 7 THEN 'ALREADY_ENTERED' WHEN document_id % 3 = 0 THEN 'REJECTED'
-  WHEN {_READABLE} THEN 'ENTERED' ELSE 'REFUSED' END AS outcome FROM v_orders),
-last AS (SELECT parcel_id, max(seq) AS last_seq FROM v_mutations GROUP BY parcel_id)
-SELECT document_id, outcome, CASE WHEN outcome = 'ENTERED' THEN {_READ} END AS type, CASE WHEN outcome = 'ENTERED' THEN {_PART} END AS share,
-  CASE WHEN outcome = 'ENTERED' THEN deed_number END AS order_reference FROM d""")
+DECISIONS = f"""{PREVIEW}, d AS (SELECT *, CASE WHEN document_id % 50 = 7 THEN 'ALREADY_ENTERED' WHEN document_id % 3 = 0 THEN 'REJECTED'
+  WHEN {_READABLE} THEN 'ENTERED' ELSE 'REFUSED' END AS outcome FROM read_orders LEFT JOIN placed USING (document_id)),
+last_places AS (SELECT parcel_id, max(seq) AS last_seq FROM v_mutations GROUP BY parcel_id),
+decided AS (SELECT d.*, CASE WHEN outcome = 'ENTERED' THEN last_seq + row_number() OVER (PARTITION BY outcome, of_parcel ORDER BY document_id % 40, document_id) END AS seq
+  FROM d LEFT JOIN last_places l ON l.parcel_id = of_parcel)"""
+
+
+@query(f"""{DECISIONS} SELECT document_id, outcome, CASE outcome WHEN 'ENTERED' THEN 'VERIFIED' WHEN 'REJECTED' THEN 'REJECTED' END AS status, seq,
+  CASE WHEN outcome = 'ENTERED' THEN of_parcel END AS parcel_id, CASE WHEN outcome = 'ENTERED' THEN kind_read END AS type, CASE WHEN outcome = 'ENTERED' THEN from_owner END AS from_owner,
+  CASE WHEN outcome = 'ENTERED' THEN to_owner END AS to_owner, CASE WHEN outcome = 'ENTERED' THEN share_read END AS share, CASE WHEN outcome = 'ENTERED' THEN mutation_number END AS mutation_number,
+  CASE WHEN outcome = 'ENTERED' THEN CAST(day_read AS VARCHAR) END AS effective_date, CASE WHEN outcome = 'ENTERED' THEN deed_number END AS order_reference FROM decided""")
 def order_decisions(spark, sf):
+    return decided_orders(spark, sf)
+
+
+def decided_orders(spark, sf):
+    """Two orders in three are approved, and one in fifty is in the register already."""
     decided = views.order_readings(spark, sf).selectExpr(
         "*", "if(document_id % 3 = 0, 'reject', 'approve') as action",
         "timestamp'2026-01-01' + make_interval(0, 0, 0, cast(document_id % 40 as int)) as arrived",
         "document_id % 50 = 7 as entered",
     )
-    out = orders.order_decisions(decided, views.parcels(spark, sf), views.mutations(spark, sf))
-    return out.select("document_id", "outcome", "type", "share", "order_reference")
+    return orders.order_decisions(decided, views.parcels(spark, sf), views.mutations(spark, sf))
 
 
 # --- audit ---------------------------------------------------------------

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from landledger import fixed
 from landledger.catalog import query
-from landledger.catalog.records import decided_on
 from landledger.catalog.sqlparts import SCORED, VALIDATED, records_with
-from landledger.operators import cadastral, decisions, listings, quality, risk, stats, validate
-from landledger.plans import dashboard, evidence, views
+from landledger.operators import cadastral, listings, quality, risk, stats, validate
+from landledger.plans import dashboard, views
 from landledger.plans.views import NOW, oracle_with
 
 REC = oracle_with("v_records")
@@ -168,17 +167,18 @@ def error_categories(spark, sf):
     return stats.error_categories(stats.working_set(validate.validate_records(views.records(spark, sf))))
 
 
-_RISK_INPUT = f"""{REC}, scored AS (SELECT district, conf_seed_pct AS quality_score, CASE WHEN conf_seed_pct >= 90 THEN 'HIGH' WHEN conf_seed_pct >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS band,
-  document_id % 4 AS matched_count, CASE WHEN document_id % 4 = 0 THEN 'NOT_FOUND' WHEN document_id % 9 = 0 THEN 'CONFLICTS' ELSE 'AGREES' END AS reconciliation,
-  CASE document_id % 3 WHEN 0 THEN 'EMPTY' WHEN 1 THEN 'CLEAN' ELSE 'DEFECTS' END AS chain_status, CASE WHEN document_id % 15 = 2 THEN 1 ELSE 0 END AS critical,
-  CASE document_id % 7 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS contradicted FROM v_records WHERE status <> 'REJECTED'),
-g AS (SELECT district, count(*) AS record_count, CAST(floor(avg(quality_score) + 0.5) AS BIGINT) AS mean_quality, count(*) FILTER (band = 'LOW') AS low_quality_count,
+RISK = """g AS (SELECT district, count(*) AS record_count, CAST(floor(avg(quality_score) + 0.5) AS BIGINT) AS mean_quality, count(*) FILTER (band = 'LOW') AS low_quality_count,
   count(*) FILTER (matched_count > 0) AS reconciled, count(*) FILTER (matched_count > 0 AND reconciliation = 'CONFLICTS') AS reconciliation_conflicts,
   count(*) FILTER (chain_status <> 'EMPTY') AS chains_traced, count(*) FILTER (chain_status = 'DEFECTS') AS chain_defects,
   count(*) FILTER (chain_status <> 'EMPTY' AND critical > 0) AS critical_chain_defects,
   count(*) FILTER ((band = 'LOW' AND coalesce(contradicted, true)) OR reconciliation = 'CONFLICTS' OR critical > 0) AS needs_field_verification FROM scored GROUP BY district),
 risk AS (SELECT *, CASE WHEN reconciled = 0 THEN 0.0::DOUBLE ELSE floor(reconciliation_conflicts / reconciled::DOUBLE * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE END AS reconciliation_conflict_rate,
   CASE WHEN chains_traced = 0 THEN 0.0::DOUBLE ELSE floor(critical_chain_defects / chains_traced::DOUBLE * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE END AS chain_defect_rate FROM g)"""
+_RISK_INPUT = f"""{REC}, scored AS (SELECT district, conf_seed_pct AS quality_score, CASE WHEN conf_seed_pct >= 90 THEN 'HIGH' WHEN conf_seed_pct >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS band,
+  document_id % 4 AS matched_count, CASE WHEN document_id % 4 = 0 THEN 'NOT_FOUND' WHEN document_id % 9 = 0 THEN 'CONFLICTS' ELSE 'AGREES' END AS reconciliation,
+  CASE document_id % 3 WHEN 0 THEN 'EMPTY' WHEN 1 THEN 'CLEAN' ELSE 'DEFECTS' END AS chain_status, CASE WHEN document_id % 15 = 2 THEN 1 ELSE 0 END AS critical,
+  CASE document_id % 7 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS contradicted FROM v_records WHERE status <> 'REJECTED'),
+{RISK}"""
 
 
 def risk_input(spark, sf):
@@ -197,14 +197,6 @@ def district_risk(spark, sf):
     return risk.district_risk(risk_input(spark, sf))
 
 
-@query()
-def district_risk_live(spark, sf):
-    records = validate.validate_records(views.records(spark, sf))
-    return evidence.score_districts(
-        records, views.sources(spark, sf), views.parcels(spark, sf), views.mutations(spark, sf), NOW
-    )
-
-
 _PLACES = {"district north": (80.0, 27.0), "district south": (81.0, 25.0), "district east": (83.0, 26.0)}
 
 
@@ -317,28 +309,6 @@ def dashboard_stats(spark, sf):
     )
 
 
-# --- evidence ------------------------------------------------------------
-
-@query()
-def evidence_findings(spark, sf):
-    found = evidence.evidence_findings(
-        views.records(spark, sf), views.sources(spark, sf), views.parcels(spark, sf), views.mutations(spark, sf), NOW
-    )
-    return found.selectExpr("document_id", "origin", "copies", "inline(issues)").select(
-        "document_id", "origin", "kind", "code", "copies", "issue"
-    )
-
-
-@query()
-def decided_scores(spark, sf):
-    """Decided records validated and scored again on what they say now."""
-    records = views.records(spark, sf)
-    decided = decisions.field_decisions(records, decided_on(spark, sf))
-    verified = records.filter("status = 'VERIFIED'")
-    checked = validate.validate_records(decided, verified)
-    return quality.quality_score(checked).select("document_id", "validation_status", "quality_score", "band")
-
-
 # --- map -----------------------------------------------------------------
 
 PLT = oracle_with("v_plots")

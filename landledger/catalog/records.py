@@ -214,7 +214,7 @@ def render_findings(spark, sf):
 # --- reconciliation ------------------------------------------------------
 
 _AREA_A, _AREA_B = AREA.replace("plot_area", "our_area"), AREA.replace("plot_area", "their_area")
-_MATCHED = f"""{oracle_with('v_sources')},
+MATCHED = f"""{oracle_with('v_sources')},
 ks AS (SELECT *, trim(khasra_number) AS khasra, {place('village')} AS vk, {place('district')} AS dk, {toks('owner_name')} AS okey FROM v_sources),
 kr AS (SELECT *, trim(khasra_number) AS khasra, {place('village')} AS vk, {place('district')} AS dk, {toks('owner_name')} AS okey FROM v_records WHERE khasra_number IS NOT NULL),
 pl AS (SELECT DISTINCT vk, dk FROM kr), pp AS (SELECT a.vk AS va, a.dk AS da, b.vk AS vb, b.dk AS db FROM pl a, pl b
@@ -239,7 +239,7 @@ def _tally(outcome: str) -> str:
     return f"CAST(sum({flags}) AS BIGINT)"
 
 
-@query(f"""{_MATCHED}, s AS (SELECT document_id, string_agg(DISTINCT source, ',' ORDER BY source) AS matched,
+@query(f"""{MATCHED}, s AS (SELECT document_id, string_agg(DISTINCT source, ',' ORDER BY source) AS matched,
   {_tally('agrees')} AS agrees, {_tally('differs')} AS differs, {_tally('variant')} AS variants, {_tally('absent')} AS absent,
   count(*) FILTER (years >= 3) AS stale FROM o GROUP BY document_id)
 SELECT r.document_id, coalesce(matched, '') AS matched, coalesce(agrees, 0) AS agrees, coalesce(differs, 0) AS differs,
@@ -252,7 +252,7 @@ def reconcile_sources(spark, sf):
     )
 
 
-@query(f"{_MATCHED} SELECT document_id, source, years, count(*) AS copies FROM o WHERE years >= 3 GROUP BY ALL")
+@query(f"{MATCHED} SELECT document_id, source, years, count(*) AS copies FROM o WHERE years >= 3 GROUP BY ALL")
 def stale_sources(spark, sf):
     stale = reconcile.stale_sources(views.records(spark, sf), views.sources(spark, sf), NOW)
     return stale.groupBy("document_id", "source", "years").agg(F.sum("copies").alias("copies"))
@@ -262,7 +262,7 @@ _LABEL = "CASE source WHEN 'ROR' THEN 'Record of Rights' WHEN 'REGISTRATION' THE
 _PCT = "CASE WHEN a IS NULL OR b IS NULL OR greatest(abs(a), abs(b)) = 0 THEN '' ELSE regexp_replace(CAST(floor(abs(a - b) / greatest(abs(a), abs(b)) * 1000.0::DOUBLE + 0.5) / 10.0::DOUBLE AS VARCHAR), '[.]0$', '') || '%' END"
 
 
-@query(f"""{_MATCHED}, f AS (
+@query(f"""{MATCHED}, f AS (
   SELECT document_id, source, 'owner_name' AS field, CASE WHEN our_owner IS NULL THEN 'reconMissingHere' WHEN o1 = 'differs' THEN 'reconOwnerDiffers' ELSE 'reconOwnerVariant' END AS code,
     CASE WHEN our_owner IS NULL THEN {said(fixed.TEXTS['reconMissingHere'], field="'Owner name'", source=_LABEL, value='their_owner')}
          WHEN o1 = 'differs' THEN {said(fixed.TEXTS['reconOwnerDiffers'], source=_LABEL, theirs='their_owner')}
@@ -296,7 +296,7 @@ def years_since(spark, sf):
     return views.records(spark, sf).selectExpr("document_id", f"{years} as years")
 
 
-_HISTORY = f"""{oracle_with('v_parcels')},
+HISTORY = f"""{oracle_with('v_parcels')},
 kp AS (SELECT *, {place('village')} AS vk, {place('district')} AS dk FROM v_parcels),
 kr AS (SELECT *, {place('village')} AS vk, {place('district')} AS dk FROM v_records),
 pl AS (SELECT DISTINCT vk, dk FROM kr), pp AS (SELECT a.vk AS va, a.dk AS da, b.vk AS vb, b.dk AS db FROM pl a, pl b
@@ -305,7 +305,7 @@ history AS (SELECT r.document_id, min(p.parcel_id) AS parcel_id FROM kr r JOIN p
   JOIN kp p ON p.khasra_number = r.khasra_number AND p.vk = vb AND p.dk = db GROUP BY r.document_id)"""
 
 
-@query(f"{_HISTORY} SELECT document_id, parcel_id FROM history")
+@query(f"{HISTORY} SELECT document_id, parcel_id FROM history")
 def parcel_history(spark, sf):
     from landledger.operators.chain import parcel_history as operator
 
@@ -396,7 +396,7 @@ def decided_on(spark, sf):
     )
 
 
-_DECIDED = f"""{REC}, decided AS (SELECT document_id, CASE WHEN document_id % 4 = 0 THEN 'REJECTED' ELSE 'VERIFIED' END AS new_status, status,
+DECIDED = f"""{REC}, decided AS (SELECT document_id, CASE WHEN document_id % 4 = 0 THEN 'REJECTED' ELSE 'VERIFIED' END AS new_status, status,
   CASE WHEN document_id % 3 = 0 THEN NULL ELSE owner_name END AS new_owner, owner_name,
   CASE WHEN document_id % 6 = 0 THEN 'navipur' ELSE village END AS new_village, village,
   CASE WHEN document_id % 4 = 0 THEN ulpin ELSE coalesce(ulpin, 'UP' || upper(substr(sha256(CAST(document_id AS VARCHAR)), 1, 12))) END AS new_ulpin
@@ -404,14 +404,14 @@ _DECIDED = f"""{REC}, decided AS (SELECT document_id, CASE WHEN document_id % 4
 changed AS (SELECT *, CAST(new_owner IS DISTINCT FROM owner_name AS BIGINT) AS e1, CAST(new_village <> village AS BIGINT) AS e2 FROM decided)"""
 
 
-@query(f"""{_DECIDED} SELECT document_id, new_status AS status, new_owner AS owner_name, new_village AS village, new_ulpin AS ulpin, e1 + e2 AS edits FROM changed""")
+@query(f"""{DECIDED} SELECT document_id, new_status AS status, new_owner AS owner_name, new_village AS village, new_ulpin AS ulpin, e1 + e2 AS edits FROM changed""")
 def field_decisions(spark, sf):
     return decisions.field_decisions(views.records(spark, sf), decided_on(spark, sf)).selectExpr(
         "document_id", "status", "owner_name", "village", "ulpin", "cast(size(edits) as bigint) as edits"
     )
 
 
-@query(f"""{_DECIDED} SELECT document_id, 0 AS entry_no, 'EDIT_FIELD' AS action, 'Owner name' AS label, NULL AS value FROM changed WHERE e1 = 1
+@query(f"""{DECIDED} SELECT document_id, 0 AS entry_no, 'EDIT_FIELD' AS action, 'Owner name' AS label, NULL AS value FROM changed WHERE e1 = 1
 UNION ALL SELECT document_id, e1, 'EDIT_FIELD', 'Village', new_village FROM changed WHERE e2 = 1
 UNION ALL SELECT document_id, e1 + e2, CASE WHEN new_status = 'VERIFIED' THEN 'APPROVE' ELSE 'REJECT' END, NULL, new_status FROM changed""")
 def audit_entries(spark, sf):
@@ -420,12 +420,3 @@ def audit_entries(spark, sf):
         "document_id", "entry_no", "action", "get_json_object(after, '$.field') as label",
         "coalesce(get_json_object(after, '$.value'), get_json_object(after, '$.status')) as value",
     )
-
-
-@query(f"""{_HISTORY},
-changed AS (SELECT * FROM kp WHERE parcel_id % 8 = 0)
-SELECT DISTINCT r.document_id FROM kr r JOIN pp ON r.vk = va AND r.dk = da
-JOIN changed p ON p.khasra_number = r.khasra_number AND p.vk = vb AND p.dk = db""")
-def rescore_parcels(spark, sf):
-    changed = views.parcels(spark, sf).filter("parcel_id % 8 = 0")
-    return decisions.records_of_parcels(views.records(spark, sf), changed).select("document_id")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from landledger.fixed import PENALTY
 from landledger.functions.ordered import union_all
+from landledger.functions.text import trim
 from landledger.operators.chain import (
     chain_findings, chain_replay, chain_status, owner_vs_chain, parcel_history, standing_entries,
 )
+from landledger.operators.decisions import records_of_parcels
 from landledger.operators.findings import FINDINGS, penalty_sum
 from landledger.operators.places import place_pairs, with_keys
 from landledger.operators.quality import quality_score
@@ -49,29 +51,38 @@ class Evidence:
         ])
 
     def weights(self) -> DataFrame:
-        """Per record: points lost to evidence, and whether it contradicts the record.
+        """Per record: points lost to evidence, and whether it contradicts the record."""
+        by_source = source_weights(self.records, self.sources, self.now, self.pairs)
+        return summed([by_source, chain_weights(self.history, self.register), owner_weights(self.owner_issues())])
+
+
+def source_weights(records: DataFrame, sources: DataFrame, now: str, pairs: DataFrame) -> DataFrame:
+    return reconciliation_findings(records, sources, now, pairs).selectExpr(
+        "document_id", f"copies * {penalty_sum()} as points", f"{contradicted_flag()} as against", "false as critical"
+    )
+
+
+def chain_weights(history: DataFrame, register: DataFrame) -> DataFrame:
+    """Register findings are summed per parcel first, so a parcel with many copies and many findings never multiplies out."""
+    per_parcel = register.groupBy("parcel_id").agg(
+        F.expr(f"sum(if(severity = 'critical', {PENALTY['chainDefect']}L, {PENALTY['chainWarning']}L)) as points"),
+        F.expr("bool_or(severity = 'critical') as critical"),
+    )
+    return history.join(per_parcel, "parcel_id").selectExpr("document_id", "points", "critical as against", "critical")
 
-        Register findings are summed per parcel first, so a parcel with many copies and
-        many findings never multiplies out.
-        """
-        by_source = reconciliation_findings(self.records, self.sources, self.now, self.pairs).selectExpr(
-            "document_id", f"copies * {penalty_sum()} as points", f"{contradicted_flag()} as against", "false as critical"
-        )
-        per_parcel = self.register.groupBy("parcel_id").agg(
-            F.expr(f"sum(if(severity = 'critical', {PENALTY['chainDefect']}L, {PENALTY['chainWarning']}L)) as points"),
-            F.expr("bool_or(severity = 'critical') as critical"),
-        )
-        by_chain = self.history.join(per_parcel, "parcel_id").selectExpr(
-            "document_id", "points", "critical as against", "critical"
-        )
-        by_owner = self.owner_issues().selectExpr(
-            "document_id", f"{penalty_sum()} as points", f"{contradicted_flag()} as against",
-            "exists(issues, i -> i.kind = 'chainDefect') as critical",
-        )
-        return union_all([by_source, by_chain, by_owner]).groupBy("document_id").agg(
-            F.sum("points").alias("evidence_points"), F.expr("bool_or(against) as against"),
-            F.expr("bool_or(critical) as critical_chain"),
-        )
+
+def owner_weights(owner_issues: DataFrame) -> DataFrame:
+    return owner_issues.selectExpr(
+        "document_id", f"{penalty_sum()} as points", f"{contradicted_flag()} as against",
+        "exists(issues, i -> i.kind = 'chainDefect') as critical",
+    )
+
+
+def summed(weights: list[DataFrame]) -> DataFrame:
+    return union_all(weights).groupBy("document_id").agg(
+        F.sum("points").alias("evidence_points"), F.expr("bool_or(against) as against"),
+        F.expr("bool_or(critical) as critical_chain"),
+    )
 
 
 def evidence_findings(
@@ -115,3 +126,47 @@ def score_districts(
         )
     )
     return district_risk(scored)
+
+
+def rescore_parcels(
+    validated: DataFrame, sources: DataFrame, parcels: DataFrame, mutations: DataFrame,
+    orders: DataFrame, decided: DataFrame, now: str,
+) -> DataFrame:
+    """Records of the parcels whose registers decided orders have changed, scored before and after.
+
+    ``validated`` has the findings stored with the records, ``orders`` the place of every order,
+    ``decided`` the outcomes (:func:`order_decisions`). Columns: document_id, score_before,
+    score_after, band (after) and moved. Only records that describe a changed parcel are
+    looked at, and only their registers are replayed: as they were, and with the new entries. What
+    other sources say is the same before and after, and is worked out once.
+    """
+    columns = ["parcel_id", "id", "seq", "type", "from_owner", "to_owner", "share", "mutation_number", "effective_date", "supersedes_id"]
+    entered = settle(decided.filter("outcome = 'ENTERED'"))
+    places = entered.select("document_id", "parcel_id").join(orders.select("document_id", "khasra_number", "village", "district"), "document_id")
+    touched = settle(records_of_parcels(validated, places))
+    # Orders may have opened registers; these are known by the place of their first order.
+    opened = places.join(parcels.select("parcel_id"), "parcel_id", "left_anti").groupBy("parcel_id").agg(
+        *[F.expr(f"min_by({trim(c)}, document_id) as {c}") for c in ("khasra_number", "village", "district")]
+    )
+    known = {False: parcels.select(*opened.columns)}
+    known[True] = known[False].unionByName(opened)
+    # No entry has a negative id, so those of orders come last among equals.
+    entries = entered.withColumns({"id": -F.col("document_id") - 1, "supersedes_id": F.lit(None).cast("long")}).select(*columns)
+    pairs = settle(place_pairs(with_keys(touched), with_keys(sources), with_keys(known[True])))
+    by_source = settle(source_weights(touched, sources, now, pairs))
+    owners = touched.select("document_id", "owner_name")
+    scores = {}
+    for after, register in ((False, mutations.select(*columns)), (True, mutations.select(*columns).unionByName(entries))):
+        history = settle(parcel_history(touched, known[after], pairs))
+        standing = settle(standing_entries(register.join(history.select("parcel_id").distinct(), "parcel_id", "left_semi")))
+        replay = settle(chain_replay(standing))
+        weights = summed([
+            by_source, chain_weights(history, chain_findings(standing, now, replay)),
+            owner_weights(owner_vs_chain(owners.join(history, "document_id"), replay)),
+        ])
+        scored = quality_score(touched.join(weights, "document_id", "left"), "evidence_points")
+        scores[after] = scored.select("document_id", "quality_score", "band")
+    before = scores[False].select("document_id", F.col("quality_score").alias("score_before"))
+    return before.join(scores[True].withColumnRenamed("quality_score", "score_after"), "document_id").withColumn(
+        "moved", F.col("score_before") != F.col("score_after")
+    )

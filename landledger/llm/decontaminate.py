@@ -58,7 +58,8 @@ def benchmark_hits(
 
     A window is ``window`` successive words of an item; an item of fewer words is one window.
     A word inside any occurrence of a window is hit; items are those with a window that
-    occurs. Fingerprints only find where to look; words decide.
+    occurs. Fingerprints only find where to look; words decide. Items without item_id hit
+    like others and are not named.
 
     Null or empty text has no words and no hits. Items without words occur nowhere. Repeated
     rows are judged one by one, repeated item_ids named once. Other columns are ignored.
@@ -66,8 +67,10 @@ def benchmark_hits(
     """
     rows = keyed(docs, doc_id, text)
     tests = settle(
-        items.select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("words"))
-        .filter("size(words) > 0 and item is not null").distinct()
+        items.select(F.col(item_id).cast("string").alias("name"), words(F.col(item_text)).alias("words"))
+        .filter("size(words) > 0").distinct()
+        # A null name still hits; a letter before the others keeps it apart from all of them.
+        .select(F.coalesce(F.concat(F.lit("n"), "name"), F.lit("")).alias("item"), "words")
     )
     long = tests.filter(F.size("words") >= window)
     prints = settle(
@@ -133,7 +136,7 @@ def benchmark_hits(
     )
     hits = (
         spans.groupBy(of_id, of_row)
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.expr("nullif(substr(item, 2), '')"))).alias("items"))
     )
     counted = rows.select("doc_id", "row", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     return counted.join(

@@ -43,7 +43,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """The sorted distinct 64-bit hashes of a text's shingles; words are hashed once each."""
 
-    def __init__(self, size: int = SHINGLE, kept_words: int = 500_000):
+    def __init__(self, size: int = SHINGLE, kept_words: int = 200_000):
         self.size, self.kept_words, self.known = size, kept_words, {}
 
     def hashes(self, text: str) -> np.ndarray:
@@ -331,8 +331,11 @@ def links(docs: DataFrame, star: DataFrame, kept: int, percent: int, shingle: in
     def work(key: tuple, rows: list[tuple]) -> list[tuple]:
         if not shingles:
             shingles.append(Shingler(shingle))
-        blocks, docs, texts = zip(*rows)
-        sets = [shingles[0](t) for t in texts]
+        # Another row of the same doc_id may have no shingle; it is linked with nothing.
+        held = [(block, doc, own) for block, doc, text in rows if len(own := shingles[0](text))]
+        if not held or held[0][0] != -1:
+            return []
+        blocks, docs, sets = zip(*held)
         cell = Cell(docs, blocks, [len(s) for s in sets], [s[:kept] for s in sets], kept, percent, sets)
         return list(cell.links(key[1] == key[2]))
 

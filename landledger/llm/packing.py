@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct short words whose ids a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 def byte_letters() -> dict[int, int]:

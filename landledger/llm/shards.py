@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landledger.functions.ordered import with_position
 from landledger.llm.packing import END_ID, TOKENIZER, worker_encoder
 from landledger.llm.shared import stored
 
@@ -74,17 +73,27 @@ def write_shards(docs: DataFrame, key: int = KEY, tokens: int = TOKENS, shard: i
     row that begins at s - s % ``row``; shorter sequences are filled with zeros. So any slot is
     found without reading what comes before it.
 
+    The order is settled by ``key`` and by how the stored pieces lie in files, so the same input, read in the
+    same splits, gives the same order. ``ids`` above 65,535 raise ValueError.
+
     Null and empty texts are the end id alone. Repeated rows get slots of their own. No rows
     give no shards. Other columns are ignored.
     """
     pieces = stored(token_sequences(docs, tokens=tokens, **options))
-    count = pieces.count()
-    blocks = max(1, count // 5000)
-    numbered = with_position(pieces, [], ["doc_id", "piece"], f"pmod(xxhash64(doc_id, piece), {blocks})", "place")
+    # A sequence's number is its place in the stored files, in order of their names: counts per file
+    # (a row each) are enough, and the sequences themselves travel once, to their shard.
+    placed_in = pieces.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    files = placed_in.groupBy("file").agg(F.count("*").alias("held"))
+    bases, count = [], 0
+    for r in sorted(files.collect(), key=lambda r: r.file):
+        bases.append((r.file, count))
+        count += r.held
+    based = docs.sparkSession.createDataFrame(bases, "file string, base long")
+    numbered = placed_in.join(F.broadcast(based), "file").withColumn("place", F.col("base") + F.col("at"))
 
     def place(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            df["slot"] = slots(df.pop("place").to_numpy() - 1, count, key)
+            df["slot"] = slots(df.pop("place").to_numpy(), count, key)
             df["shard"], df["first_slot"] = df["slot"] // shard, df["slot"] - df["slot"] % row
             yield df
 
@@ -113,7 +122,7 @@ def write_shards(docs: DataFrame, key: int = KEY, tokens: int = TOKENS, shard: i
             yield written()
 
     parts = max(1, -(-count // shard))
-    ordered = placed.repartitionByRange(parts, "first_slot").sortWithinPartitions("slot")
+    ordered = placed.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("slot")
     return stored(ordered.mapInArrow(fill, f"shard long, first_slot long, doc_ids array<{kind}>, pieces array<int>, lengths array<int>, payload binary"))
 
 
@@ -128,8 +137,12 @@ def slots_of(shards: DataFrame, tokens: int = TOKENS) -> DataFrame:
 
 
 def read_from(shards: DataFrame, slot: int, tokens: int = TOKENS) -> DataFrame:
-    """slot, ids from ``slot`` on, in order: where a reader resumes. Rows before it are skipped by their statistics."""
-    rows = shards.filter(F.col("first_slot") > slot - ROW)
+    """slot, ids from ``slot`` on, in order: where a reader resumes. Rows before it are skipped by their statistics.
+
+    How many sequences a row holds is read off the shards; no shards give no rows.
+    """
+    row = shards.agg(F.max(F.size("lengths"))).first()[0] or 1
+    rows = shards.filter(F.col("first_slot") > slot - row)
     ids = F.substr("payload", F.col("at") * 2 * tokens + 1, F.element_at("lengths", F.col("at") + 1) * 2)
     return rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("lengths") - 1))).select(
         (F.col("first_slot") + F.col("at")).alias("slot"), ids.alias("ids")

@@ -22,13 +22,13 @@ def by_hand(texts, items):
             for k in range(len(w) - n + 1):
                 if tuple(w[k:k + n]) in windows:
                     hit |= set(range(k, k + n))
-                    found.add(str(name))
+                    found |= {str(name)} - {"None"}
         out[i] = (len(w), len(hit), sorted(found))
     return out
 
 
 def test_hits(spark):
-    items = [(i, prose(i, 8 + i)) for i in range(12)] + [(20, "Three short words"), (21, "solo"), (22, None), (23, "?!"), (2, prose(2, 10)), (24, "a b c d e")]
+    items = [(i, prose(i, 8 + i)) for i in range(12)] + [(20, "Three short words"), (21, "solo"), (22, None), (23, "?!"), (2, prose(2, 10)), (24, "a b c d e"), (None, prose(300, 14)), (None, "nameless words")]
     texts = list(ODD)
     for i in range(12):
         w = prose(i, 8 + i).split()
@@ -38,6 +38,7 @@ def test_hits(spark):
             " ".join(w) + " -- " + " ".join(w),
             " ".join(w[3:]) + " three; short-words solo",
             "a b c d e " * 5,
+            f"{prose(400 + i, 5)} {prose(300, 14)} nameless words",
         ]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, texts)

@@ -66,3 +66,6 @@ def test_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
     unnamed = docs.selectExpr("cast(null as long) doc_id", "text")
     assert {(r.component_id, r.kept) for r in near_duplicates(unnamed).collect()} == {(None, True)}
+    text = prose(9, 60)
+    twice = spark.createDataFrame([(0, text), (1, text + " end"), (1, None), (2, "!"), (2, text + " stop"), (2, "")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(twice).collect() if r.n_shingles > 10} == {(0, 0), (1, 0), (2, 0)}

@@ -31,3 +31,11 @@ def test_shards(spark):
         assert np.frombuffer(r.ids, "<u2").tolist() == (whole(texts[doc]) + [1])[32 * piece:32 * piece + 32]
     assert sum(r.length for r in rows) == sum(len(whole(t)) + 1 for t in texts) + len(whole("one")) + 1
     assert slots_of(write_shards(docs.limit(0))).count() == 0
+
+
+def test_resuming_in_long_rows(spark):
+    docs = documents(spark, [prose(i, 4) for i in range(1500)])
+    shards = write_shards(docs, tokens=32, shard=4096, row=1024)
+    n = slots_of(shards, 32).count()
+    assert [r.slot for r in read_from(shards, 700, 32).collect()] == list(range(700, n))
+    assert read_from(shards.limit(0), 3, 32).count() == 0

@@ -388,7 +388,7 @@ _READABLE = f"{_READ} IS NOT NULL AND {_WHEN} IS NOT NULL AND {_PART} IS NOT NUL
 DECISIONS = f"""{PREVIEW}, d AS (SELECT *, CASE WHEN document_id % 50 = 7 THEN 'ALREADY_ENTERED' WHEN document_id % 3 = 0 THEN 'REJECTED'
   WHEN {_READABLE} THEN 'ENTERED' ELSE 'REFUSED' END AS outcome FROM read_orders LEFT JOIN placed USING (document_id)),
 last_places AS (SELECT parcel_id, max(seq) AS last_seq FROM v_mutations GROUP BY parcel_id),
-decided AS (SELECT d.*, CASE WHEN outcome = 'ENTERED' THEN last_seq + row_number() OVER (PARTITION BY outcome, of_parcel ORDER BY document_id % 40, document_id) END AS seq
+decided AS (SELECT d.*, CASE WHEN outcome = 'ENTERED' THEN coalesce(last_seq, 0) + row_number() OVER (PARTITION BY outcome, of_parcel ORDER BY document_id % 40, document_id) END AS seq
   FROM d LEFT JOIN last_places l ON l.parcel_id = of_parcel)"""
 
 

@@ -28,8 +28,8 @@ from landledger.session import settle
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct short words whose ids a worker keeps.
-KEPT_WORDS = 200_000
+#: Distinct short words whose ids a worker keeps, besides as many that it has met before these.
+KEPT_WORDS = 150_000
 
 
 def byte_letters() -> dict[int, int]:
@@ -56,22 +56,28 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
 
     def __missing__(self, part: bytes) -> bytes:
+        raw = self.old.pop(part, None) or self.encoded(part)
+        if len(part) <= 64:
+            # Words that are met again and again move on to the new table, the others go with the old one.
+            if len(self) >= KEPT_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[part] = raw
+        return raw
+
+    def encoded(self, part: bytes) -> bytes:
         word = part.decode()
         if self.PLAIN(word):
             letters = word if part.isascii() else part.decode("latin-1").translate(LETTERS)
             ids = [t.id for t in self.model.tokenize(letters)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        raw = struct.pack(f"<{len(ids)}I", *ids)
-        if len(part) <= 64:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[part] = raw
-        return raw
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         raw = text.encode("utf-8", "replace")

@@ -2,54 +2,82 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landledger.functions.ordered import scan_sorted
+from landledger.functions.ordered import union_all
 from landledger.functions.text import BLANK, pattern
+from landledger.session import settle
 
 NEAR_DOWN, NEAR_ACROSS = 20, 40
 
 
-class KeptWords:
-    """Words kept so far of one text on one page, most confident first.
-
-    A word is dropped when a kept one lies within 20 px down and 40 px across. Kept
-    words of one text never lie that close, so the state is bounded by the page's area.
-    """
-
-    def __init__(self):
-        self.cells: dict[tuple[int, int], list[tuple[float, float]]] = defaultdict(list)
-
-    def feed(self, row: tuple):
-        _, _, word_no, _, x, y, _ = row
-        across, down = int(x // NEAR_ACROSS), int(y // NEAR_DOWN)
-        for i in (across - 1, across, across + 1):
-            for j in (down - 1, down, down + 1):
-                for other_x, other_y in self.cells.get((i, j), ()):
-                    if abs(other_y - y) < NEAR_DOWN and abs(other_x - x) < NEAR_ACROSS:
-                        return
-        self.cells[across, down].append((x, y))
-        yield row
-
-    def finish(self):
-        return ()
-
-
 def words_dedupe(words: DataFrame) -> DataFrame:
     """Keep the most confident of equal words read at the same spot.
 
-    ``words`` has document_id, word_no, text, confidence, x, y, height.
+    ``words`` has document_id, word_no, text, confidence, x, y, height. Of words of one text
+    on one page the most confident is kept (the smaller word_no among equals), those less than 20 px
+    down and 40 px across from it go, and so on. Here all words that no open rival outranks are kept at once: they are what
+    taking one at a time would keep, for nothing that could have removed them is left. What lies near
+    them goes, and the rest has its next round. Words without an equal on their page take no part in
+    this, nor do those without a place, which are kept.
     """
-    ordered = words.selectExpr(
+    columns = ["document_id", "text", "word_no", "confidence", "x", "y", "height"]
+    plain = words.selectExpr(
         "document_id", "text", "cast(word_no as bigint) as word_no", "cast(confidence as double) as confidence",
         "cast(x as double) as x", "cast(y as double) as y", "cast(height as double) as height",
     )
-    return scan_sorted(
-        ordered, ["document_id", "text"], [F.col("confidence").desc(), "word_no"], lambda _: KeptWords(),
-        "document_id bigint, text string, word_no bigint, confidence double, x double, y double, height double",
+    # Words at the very same spot share the fate of the best of them, so only that one takes part.
+    spots = plain.filter("x is not null and y is not null").groupBy("document_id", "text", "x", "y").agg(
+        F.expr("min_by(struct(confidence, height, word_no), struct(-confidence, word_no)) as best")
+    ).select("document_id", "text", "x", "y", "best.*")
+    unplaced = plain.filter("x is null or y is null")
+    several = spots.groupBy("document_id", "text").agg(F.count("*").alias("n")).filter("n > 1").select(
+        F.col("document_id").alias("of_document"), F.col("text").alias("of_text")
+    )
+    same = F.col("document_id").eqNullSafe(F.col("of_document")) & F.col("text").eqNullSafe(F.col("of_text"))
+    spots, several = settle(spots), settle(several)
+    alone = spots.join(several, same, "left_anti").select(columns).unionByName(unplaced.select(columns))
+    cell = {"across": F.floor(F.col("x") / NEAR_ACROSS), "down": F.floor(F.col("y") / NEAR_DOWN), "id": F.monotonically_increasing_id()}
+    open_ = settle(spots.join(several, same, "left_semi").withColumns(cell))
+    rivals = settle(_rivals(open_))
+    kept = []
+    while True:
+        # Those that a better one still stands against have to wait.
+        waiting = rivals.select(F.col("worse").alias("id")).distinct()
+        best = settle(open_.join(waiting, "id", "left_anti"))
+        kept.append(best.select(columns))
+        if rivals.isEmpty():
+            break
+        beaten = rivals.join(best.select(F.col("id").alias("better")), "better", "left_semi").select(F.col("worse").alias("id")).distinct()
+        over = settle(best.select("id").unionByName(beaten))
+        open_ = settle(open_.join(over, "id", "left_anti"))
+        for side in ("better", "worse"):
+            rivals = rivals.join(over.select(F.col("id").alias(side)), side, "left_anti")
+        rivals = settle(rivals)
+    return union_all([alone, *kept])
+
+
+def _rivals(words: DataFrame) -> DataFrame:
+    """better, worse: ids of equal words of a page that lie near each other.
+
+    A word meets those of its own cell and the eight around it, so a page's words are compared
+    with their neighbourhood alone.
+    """
+    around = F.expr("explode(array(-1L, 0L, 1L))")
+    reach = words.withColumn("i", around).withColumn("j", around).selectExpr(
+        "id as other", "document_id as of_document", "text as of_text", "confidence as of_confidence", "word_no as of_word",
+        "x as of_x", "y as of_y", "across + i as across", "down + j as down",
+    )
+    near = (F.abs(F.col("x") - F.col("of_x")) < NEAR_ACROSS) & (F.abs(F.col("y") - F.col("of_y")) < NEAR_DOWN)
+    same = (
+        F.col("document_id").eqNullSafe(F.col("of_document")) & F.col("text").eqNullSafe(F.col("of_text"))
+        & (words["across"] == reach["across"]) & (words["down"] == reach["down"])
+    )
+    return (
+        words.join(reach, same).filter("id <> other").filter(near)
+        .filter("struct(-confidence, word_no, id) < struct(-of_confidence, of_word, other)")
+        .select(F.col("id").alias("better"), F.col("other").alias("worse"))
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import tempfile
 
 from landledger.operators import cadastral, extract, lines
@@ -104,3 +105,20 @@ def test_map(spark):
     ], "document_id bigint, district string, village string, khasra_number string, plot_area string")
     got = {r.document_id: r.map_status for r in cadastral.map_check(records, plots).collect()}
     assert got == {1: "DIFFERS", 2: "MATCHES", 3: "DIFFERS", 4: "NOT_ON_MAP", 5: "NO_MAP", 6: "MATCHES"}
+
+
+def test_dedupe_against_one_at_a_time(spark):
+    rng = random.Random(8)
+    rows = [(d, n, rng.choice("ab"), float(rng.randrange(60, 70)), float(rng.choice([0, 0, 15, 39, 40, 41, 77, 90, 300])), float(rng.choice([0, 0, 10, 19, 20, 33, 200])), 9.0)
+            for d in range(6) for n in range(40)]
+    kept = set()
+    for d in range(6):
+        for t in "ab":
+            own = []
+            for r in sorted((r for r in rows if r[0] == d and r[2] == t), key=lambda r: (-r[3], r[1])):
+                if not any(abs(r[5] - o[5]) < 20 and abs(r[4] - o[4]) < 40 for o in own):
+                    own.append(r)
+            kept |= {(d, r[1]) for r in own}
+    got = lines.words_dedupe(spark.createDataFrame(rows + [(9, 0, None, 5.0, None, 1.0, 1.0), (9, 1, None, 5.0, None, 1.0, 1.0)], WORDS).repartition(3))
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.document_id, r.word_no) for r in got.collect()) == sorted(kept | {(9, 0), (9, 1)})

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +78,7 @@ def write_shards(docs: DataFrame, key: int = KEY, tokens: int = TOKENS, shard: i
     Null and empty texts are the end id alone. Repeated rows get slots of their own. No rows
     give no shards. Other columns are ignored.
     """
-    pieces = stored(token_sequences(docs, tokens=tokens, **options))
+    pieces = stored(token_sequences(docs, tokens=tokens, **options), compression="zstd")
     # A sequence's number is its place in the stored files, in order of their names: counts per file
     # (a row each) are enough, and the sequences themselves travel once, to their shard.
     placed_in = pieces.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
@@ -91,15 +90,15 @@ def write_shards(docs: DataFrame, key: int = KEY, tokens: int = TOKENS, shard: i
     based = docs.sparkSession.createDataFrame(bases, "file string, base long")
     numbered = placed_in.join(F.broadcast(based), "file").withColumn("place", F.col("base") + F.col("at"))
 
-    def place(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            df["slot"] = slots(df.pop("place").to_numpy(), count, key)
-            df["shard"], df["first_slot"] = df["slot"] // shard, df["slot"] - df["slot"] % row
-            yield df
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = slots(batch.column(4).to_numpy(), count, key)
+            made = [pa.array(x, pa.int64()) for x in (slot, slot // shard, slot - slot % row)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], ["doc_id", "piece", "length", "ids", "slot", "shard", "first_slot"])
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, length int, ids binary, slot long, shard long, first_slot long"
-    placed = numbered.select("doc_id", "piece", "length", "ids", "place").mapInPandas(place, schema)
+    placed = numbered.select("doc_id", "piece", "length", "ids", "place").mapInArrow(place, schema)
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -123,7 +122,7 @@ def write_shards(docs: DataFrame, key: int = KEY, tokens: int = TOKENS, shard: i
 
     parts = max(1, -(-count // shard))
     ordered = placed.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    return stored(ordered.mapInArrow(fill, f"shard long, first_slot long, doc_ids array<{kind}>, pieces array<int>, lengths array<int>, payload binary"))
+    return stored(ordered.mapInArrow(fill, f"shard long, first_slot long, doc_ids array<{kind}>, pieces array<int>, lengths array<int>, payload binary"), compression="zstd")
 
 
 def slots_of(shards: DataFrame, tokens: int = TOKENS) -> DataFrame:

@@ -127,9 +127,9 @@ def without(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     return marked.filter("not sieve_hit").drop("sieve_hit").unionByName(hits.join(keys.select(*names), same, "left_anti"))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read again: compact, and safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.parquet(path)

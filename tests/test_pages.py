@@ -6,6 +6,7 @@ import os
 import random
 import tempfile
 
+from landledger import fixed
 from landledger.operators import cadastral, extract, lines
 from landledger.sources import tables
 from landledger.streaming.intake import stream_intake
@@ -122,3 +123,22 @@ def test_dedupe_against_one_at_a_time(spark):
     got = lines.words_dedupe(spark.createDataFrame(rows + [(9, 0, None, 5.0, None, 1.0, 1.0), (9, 1, None, 5.0, None, 1.0, 1.0)], WORDS).repartition(3))
     assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.document_id, r.word_no) for r in got.collect()) == sorted(kept | {(9, 0), (9, 1)})
+
+
+def test_plots_of_all_sizes(spark):
+    rng = random.Random(5)
+    boxes = [(rng.uniform(-30000, 30000), rng.uniform(-30000, 30000), rng.choice([10.0, 10.0, 79.9, 80.0, 641.0, 5120.0, 50000.0])) for _ in range(300)]
+    boxes += [(x + rng.uniform(-9, 9), y + rng.uniform(-9, 9), 10.0) for x, y, _ in boxes[:150]]
+    plots = spark.createDataFrame(
+        [(i, "d", "v", str(i), square(*b)) for i, b in enumerate(boxes)] + [(9000, "d", "v", "x", None), (9001, "d", "v", "y", [])],
+        "plot_id bigint, district string, village string, khasra string, outline array<struct<x:double,y:double>>",
+    )
+    want = {}
+    for i, (x, y, s) in enumerate(boxes):
+        for j, (u, v, t) in enumerate(boxes[i + 1:], i + 1):
+            w, h = min(x + s, u + t) - max(x, u), min(y + s, v + t) - max(y, v)
+            if w > 0 and h > 0 and w * h / 10000 > fixed.TOUCH_HA:
+                want[i, j] = round(w * h / 10000, 3)
+    got = [((r.plot_id, r.other_id), round(r.overlap_ha, 3)) for r in cadastral.plot_overlaps(plots).collect()]
+    assert len(got) == len(want) > 200 and dict(got).keys() == want.keys()
+    assert all(abs(a - want[k]) < 0.01 for k, a in got)

@@ -262,7 +262,9 @@ _SHARE_TEXT = (
 @query(f"WITH {_SHARES} SELECT event_id, n, d FROM f")
 def parse_share(spark, sf):
     texts = views.base(spark, sf, "events").selectExpr("event_id", f"{_SHARE_TEXT} as t0")
-    return texts.selectExpr("event_id", f"{shares.parse_share('t0')} as f").selectExpr("event_id", "f.n as n", "f.d as d")
+    return texts.selectExpr("event_id", f"{shares.parse_share('t0')} as f").selectExpr(
+        "event_id", "cast(f.n as bigint) as n", "cast(f.d as bigint) as d"
+    )
 
 
 @query(f"""WITH {_SHARES}, g AS (SELECT *, n * bd + bn * d AS sn, n * bd - bn * d AS mn, d * bd AS sd FROM f WHERE d IS NOT NULL)
@@ -276,7 +278,7 @@ def fraction_ops(spark, sf):
     ).filter("x is not null")
     total, less = shares.share_sum("x", "y"), shares.share_difference("x", "y")
     return pairs.selectExpr("event_id", f"{total} as total", f"{shares.share_sign('x', 'y')} as sign", f"{less} as less").selectExpr(
-        "event_id", f"{shares.share_text('total')} as total", "sign", "abs(less.n) as difference_n"
+        "event_id", f"{shares.share_text('total')} as total", "sign", "cast(abs(less.n) as bigint) as difference_n"
     )
 
 
@@ -440,7 +442,7 @@ def audit_numbering(spark, sf):
 @query("""SELECT event_id AS entry_id, '{"action":"' || event_type || '","after":' || replace(props, ': ', ':') || '}' AS content FROM events""")
 def canonical_json(spark, sf):
     packed = events_as_entries(spark, sf).selectExpr("entry_id", "concat('{\"after\": ', after, ' ,  \"action\": \"', action, '\"}') as j")
-    return packed.selectExpr("entry_id", "to_json(parse_json(j)) as content")
+    return packed.selectExpr("entry_id", f"{audit.canonical_json('j')} as content")
 
 
 @query("""SELECT event_id AS entry_id, sha256('{"action":"' || event_type || '","actorId":"u' || event_id % 7 || '","after":' || replace(props, ': ', ':') || ',"before":null,"documentId":"' || user_id || '","prev":null,"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z"}') AS hash FROM events""")

@@ -8,12 +8,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landledger.functions.ordered import BLOCK_ROWS, scan_sorted, with_position, with_previous
-from landledger.functions.text import iso_millis
+from landledger.functions.text import iso_millis, let, pattern
+
+
+# A text in quotes (with what is escaped in it), a number, or what stands between them.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
+# Only numbers with a point, an exponent or more digits than a double holds can be written otherwise.
+_ODD_NUMBER = "[0-9][.eE]|[0-9]{16}|-0"
+
+
+def canonical_number(number: str) -> str:
+    """A JSON number as the shortest text of its double: plain from 1e-6 up to 1e21, else with a signed exponent."""
+    shown = f"regexp_extract_all(cast(abs(try_cast({number} as double)) as string), '([0-9]+)|(-)', 0)"
+    # The digits around the point, and the exponent where there is one: a - stands before a negative one.
+    digits = let(
+        shown, "p",
+        "named_struct('all', concat(p[0], p[1]), 'point', length(p[0]) + case size(p) when 2 then 0 when 3 then int(p[2]) else -int(p[3]) end)",
+    )
+    bare = let(
+        digits, "q",
+        "named_struct('d', trim(both '0' from q.all), 'at', q.point - length(q.all) + length(ltrim('0', q.all)))",
+    )
+    small = "concat('0.', repeat('0', -b.at), b.d)"
+    whole = "concat(b.d, repeat('0', b.at - length(b.d)))"
+    split = "concat(substring(b.d, 1, b.at), '.', substring(b.d, b.at + 1))"
+    power = "concat(left(b.d, 1), if(length(b.d) > 1, concat('.', substring(b.d, 2)), ''), 'e', if(b.at > 0, '+', '-'), abs(b.at - 1))"
+    plain = (
+        f"case when b.d = '' then '0' when b.at > 21 or b.at <= -6 then {power} when b.at <= 0 then {small} "
+        f"when b.at >= length(b.d) then {whole} else {split} end"
+    )
+    return f"concat(if(try_cast({number} as double) < 0, '-', ''), {let(bare, 'b', plain)})"
+
+
+def canonical_json(value: str) -> str:
+    """A JSON text with its keys sorted, no spaces and every number in its one form; null when it is not JSON."""
+    numbers = f"if(rlike(x, '^-?[0-9]'), {canonical_number('x')}, x)"
+    tokens = f"transform(regexp_extract_all(c, {pattern(_TOKEN)}, 0), x -> {numbers})"
+    return let(f"to_json(try_parse_json({value}))", "c", f"if(rlike(c, '{_ODD_NUMBER}'), array_join({tokens}, ''), c)")
 
 
 def _json(value: str) -> str:
-    """A JSON text with its keys sorted and no spaces; null when absent, and as a JSON string when not JSON."""
-    return f"case when {value} is null then 'null' else coalesce(to_json(try_parse_json({value})), {_text(value)}) end"
+    """The canonical text; null when absent, and as a JSON string when not JSON."""
+    return f"case when {value} is null then 'null' else coalesce({canonical_json(value)}, {_text(value)}) end"
 
 
 def _text(value: str) -> str:

@@ -246,3 +246,42 @@ def test_streams_equal_their_batch_forms(spark):
 
     allowed = limiter.request_limiter(asked(entries), 3, 500).select("caller", "request_id", "at_ms", "allowed")
     assert drained(stream_limiter(asked(source), 3, 500), "limit_out") == {tuple(r) for r in allowed.collect()}
+
+
+def test_wide_shares(spark):
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"0.{digits(30)}" for _ in range(40)] + [f"{digits(n)}/{digits(n - 1)}7" for n in range(2, 38)] + [
+        "0." + "3" * 37, "0.5" + "0" * 60, "9" * 38 + "/3", "9" * 38 + "/7", "0/5", "5/0", str(6 * 10**36) + "/" + str(4 * 10**36),
+    ]
+    pairs = spark.createDataFrame([(t, rng.choice(texts[:40])) for t in texts], "t string, u string").selectExpr(
+        "t", "u", f"{shares.parse_share('t')} as x", f"{shares.parse_share('u')} as y")
+    rows = pairs.selectExpr(
+        "t", "u", "x", f"{shares.share_sum('x', 'y')} as more", f"{shares.share_difference('x', 'y')} as less", f"{shares.share_sign('x', 'y')} as sign"
+    ).collect()
+    exact = 0
+    for r in rows:
+        want = shares.read_share(r.t)
+        assert (None if r.x is None else (int(r.x.n), int(r.x.d))) == want, r.t
+        if want:
+            a, b = Fraction(*want), Fraction(*shares.read_share(r.u))
+            for got, value in ((r.more, a + b), (r.less, a - b)):
+                assert got is None or Fraction(int(got.n), int(got.d)) == value
+                exact += got is not None
+            assert r.sign in (None, (a > b) - (a < b))
+    assert exact > 80
+
+
+def test_numbers_in_canonical_json(spark):
+    import json
+
+    cases = {
+        "1e5": "100000", "1.0": "1", "1E-7": "1e-7", "-0": "0", "-0.0": "0", "0.000001": "0.000001", "1.50": "1.5", "-12.25e1": "-122.5",
+        "1e21": "1e+21", "123456789012345678901": "123456789012345680000", "1e300": "1e+300", "0.1": "0.1", "100": "100", "12e-8": "1.2e-7",
+    }
+    frame = spark.createDataFrame([(k, json.dumps({"b": [1, "x 1e5 \\\" 2.0", {"z": None}], "a": 0}).replace("0}", k + "}")) for k in cases], "k string, j string")
+    for r in frame.selectExpr("k", f"{audit.canonical_json('j')} as c").collect():
+        assert r.c == '{"a":' + cases[r.k] + ',"b":[1,"x 1e5 \\\\\\" 2.0",{"z":null}]}'
+    long = json.dumps({"a": "\"\\" * 20000, "n": 1.0}).replace(" ", "")
+    assert spark.createDataFrame([(long,)], "j string").selectExpr(f"{audit.canonical_json('j')} as c").first().c == long.replace("1.0", "1")
+    assert spark.sql("select '{x' as j").selectExpr(f"{audit.canonical_json('j')} as c").first().c is None

@@ -306,7 +306,7 @@ def normalise_share(spark, sf):
     return views.order_readings(spark, sf).selectExpr("document_id", f"{shares.normalised_share('share')} as share")
 
 
-_CONF = " + ".join(
+ORDER_UNSURE = " + ".join(
     f"CAST({f} IS NOT NULL AND ((conf_seed_pct + {i * 7}) % 60 + 40)::DOUBLE / 100.0::DOUBLE < 0.75 AS BIGINT)"
     for i, f in enumerate(fixed.ORDER_FIELDS)
 )
@@ -342,7 +342,7 @@ added AS (SELECT w.parcel_id AS document_id, 3 AS phase, w.n, w.code FROM with_r
   string_agg(code, ',' ORDER BY code NOT IN ({CRITICAL}), phase, n) AS chain_codes, count(*) FILTER (code IN ({CRITICAL})) AS defects, count(*) FILTER (code NOT IN ({CRITICAL})) AS warnings FROM added GROUP BY 1),
 counted AS (SELECT document_id, {_MISSING} + CAST(kind_read IS NOT NULL AND from_owner IS NULL AS BIGINT) AS missing,
   CAST(kind_read IS NULL AS BIGINT) + CAST(order_date IS NOT NULL AND day_read IS NULL AS BIGINT) + CAST(share_read IS NULL AS BIGINT) AS unreadable,
-  {_CONF} AS unsure, {_CANDIDATE} AS is_candidate FROM read_orders)
+  {ORDER_UNSURE} AS unsure, {_CANDIDATE} AS is_candidate FROM read_orders)
 SELECT document_id, of_parcel AS parcel_id, is_candidate, coalesce(introduced, '') AS introduced, coalesce(chain_codes, '') AS chain_codes,
   repeat('chainDefect,', coalesce(defects, 0)) || repeat('chainWarning,', coalesce(warnings, 0)) || repeat('missing,', missing) || repeat('range,', unreadable) || repeat('confidence,', unsure) AS kinds,
   CASE WHEN coalesce(defects, 0) + coalesce(warnings, 0) + missing + unreadable + unsure > 0 THEN 'FLAGGED' ELSE 'PASS' END AS order_status

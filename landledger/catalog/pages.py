@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from landledger import fixed
-from landledger.catalog import query
+from landledger.catalog import ORACLES, query
+from landledger.catalog.chains import ORDER_UNSURE
 from landledger.catalog.records import misread
 from landledger.catalog.sqlparts import FIELDS, score_of
 from landledger.functions import labels
 from landledger.operators import accuracy, corrections, extract, lines
 from landledger.plans import intake, views
 from landledger.plans.views import NOW, oracle_with
+from landledger.session import shared_folder
 from landledger.sources import sinks
+from landledger.streaming.intake import LINES, take_in
 
 REC = oracle_with("v_records")
 BLK = oracle_with("v_blocks")
@@ -215,8 +217,7 @@ def accuracy_by_mode(spark, sf):
 SELECT field, total, exact FROM a""")
 def accuracy_report_sink(spark, sf):
     records = views.records(spark, sf)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-report-")
-    path = f"{folder}/accuracy-report-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/accuracy-report-{uuid.uuid4().hex}"
     sinks.accuracy_report_sink(accuracy.extraction_accuracy(records, misread(records)), path)
     written = spark.read.schema("field string, total bigint, exact bigint").json(path)
     return written.filter("field is not null")
@@ -224,6 +225,11 @@ def accuracy_report_sink(spark, sf):
 
 # --- from lines to stored rows -------------------------------------------
 
+_TAKEN_IN = f"""{REC} SELECT document_id, district, tehsil, village, khata_number, khasra_number, survey_number, owner_name, plot_area, land_classification, 'KHATAUNI' AS document_kind
+FROM v_records WHERE document_id % 10 <> 0"""
+_TAKEN_COLUMNS = [*_LINE_OF, "document_kind"]
+
+
 @query(f"""{REC} SELECT document_id, CASE WHEN document_id % 19 = 0 THEN 'rambur' ELSE 'rampur' END AS spelling, owner_name, khasra_number, plot_area, 'KHATAUNI' AS document_kind
 FROM v_records WHERE document_id % 10 <> 0""")
 def khatauni_intake(spark, sf):
@@ -234,16 +240,34 @@ def khatauni_intake(spark, sf):
     )
 
 
-def _khatauni(spark, sf):
+def khatauni_reader(spark, sf):
+    """The whole intake of khatauni pages, as a function of their lines."""
     records = views.records(spark, sf)
     memory = corrections.learn_corrections(
         records.selectExpr("'village' as field", "'nowhere' as before", "village as after", "document_id as seq")
     )
     verified = records.filter("status = 'VERIFIED'")
-    return intake.khatauni_intake(
-        views.lines(spark, sf), memory, verified, views.sources(spark, sf), views.parcels(spark, sf),
-        views.mutations(spark, sf), NOW,
-    )
+    sources, parcels, mutations = views.sources(spark, sf), views.parcels(spark, sf), views.mutations(spark, sf)
+    return lambda rows: intake.khatauni_intake(rows, memory, verified, sources, parcels, mutations, NOW)
+
+
+def _khatauni(spark, sf):
+    return khatauni_reader(spark, sf)(views.lines(spark, sf))
+
+
+@query(_TAKEN_IN)
+def pipeline_khatauni(spark, sf):
+    return _khatauni(spark, sf).select("document_id", *_TAKEN_COLUMNS)
+
+
+@query(_TAKEN_IN)
+def stream_intake(spark, sf):
+    """The same intake, over files of lines as they land."""
+    folder = f"{shared_folder(spark)}/intake-{uuid.uuid4().hex}"
+    views.lines(spark, sf).selectExpr(*[f"cast({c} as {t}) as {c}" for c, t in (x.split() for x in LINES.split(", "))]).repartition(
+        F.col("document_id")).write.parquet(f"{folder}/in")
+    taken = take_in(spark, f"{folder}/in", khatauni_reader(spark, sf), f"{folder}/out", f"{folder}/state")
+    return taken.select("document_id", *_TAKEN_COLUMNS)
 
 
 @query()
@@ -255,3 +279,18 @@ def khatauni_scores(spark, sf):
 def orders_intake(spark, sf):
     out = intake.orders_intake(order_lines(spark, sf), views.parcels(spark, sf), views.mutations(spark, sf), NOW)
     return out.select("document_id", *fixed.ORDER_FIELDS, "document_kind")
+
+
+# Lines of orders are read with a confidence of 0.9; unsure is what does not look like its field.
+_UNLIKE = "+".join(f"CAST(coalesce({x}, false) AS BIGINT)" for x in ("regexp_matches(from_owner, '[0-9]')", "regexp_matches(to_owner, '[0-9]')", "share = 'whole'"))
+
+
+@query(f"""WITH previews AS ({ORACLES["order_preview"].replace(ORDER_UNSURE, _UNLIKE)}), fields AS ({oracle_with('v_orders')} SELECT document_id, {', '.join(fixed.ORDER_FIELDS)} FROM v_orders)
+SELECT fields.*, 'MUTATION_ORDER' AS document_kind, parcel_id, is_candidate, introduced, kinds, order_status, CASE order_status WHEN 'PASS' THEN 'PENDING' ELSE 'FLAGGED' END AS status
+FROM fields JOIN previews USING (document_id)""")
+def pipeline_orders(spark, sf):
+    out = intake.orders_intake(order_lines(spark, sf), views.parcels(spark, sf), views.mutations(spark, sf), NOW)
+    return out.selectExpr(
+        "document_id", *fixed.ORDER_FIELDS, "document_kind", "parcel_id", "is_candidate", "array_join(introduced, ',') as introduced",
+        "array_join(transform(issues, i -> i.kind || ','), '') as kinds", "order_status", "status",
+    )

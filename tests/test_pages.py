@@ -6,10 +6,17 @@ import os
 import random
 import tempfile
 
-from landledger import fixed
+import pytest
+from pyspark.sql import functions as F
+
+from landledger import catalog, fixed
 from landledger.operators import cadastral, extract, lines
+from landledger.plans import views
 from landledger.sources import tables
-from landledger.streaming.intake import stream_intake
+from landledger.streaming.intake import stream_intake, take_in
+
+catalog.load()
+from landledger.catalog.pages import khatauni_reader  # noqa: E402
 
 LINES = "document_id bigint, line_no int, text string, confidence double"
 
@@ -142,3 +149,26 @@ def test_plots_of_all_sizes(spark):
     got = [((r.plot_id, r.other_id), round(r.overlap_ha, 3)) for r in cadastral.plot_overlaps(plots).collect()]
     assert len(got) == len(want) > 200 and dict(got).keys() == want.keys()
     assert all(abs(a - want[k]) < 0.01 for k, a in got)
+
+
+def test_stream_killed_and_restarted(spark):
+    """A whole intake over a stream whose second batch fails once: as if all lines had been there at once."""
+    sf_dir, folder = "/root/testdata/sf0.001", tempfile.mkdtemp()
+    rows = views.lines(spark, sf_dir).select("document_id", "line_no", F.col("text"), F.expr("cast(confidence as double) as confidence"))
+    rows.repartition(4, "document_id").write.parquet(f"{folder}/in")
+    read, runs = khatauni_reader(spark, sf_dir), []
+
+    def once_broken(batch):
+        runs.append(1)
+        out = read(batch)
+        if len(runs) == 2:
+            out.limit(5).write.parquet(f"{folder}/out/batch=1")
+            raise RuntimeError("killed")
+        return out
+
+    with pytest.raises(Exception, match="killed"):
+        take_in(spark, f"{folder}/in", once_broken, f"{folder}/out", f"{folder}/state", 2)
+    taken = take_in(spark, f"{folder}/in", once_broken, f"{folder}/out", f"{folder}/state", 2)
+    columns = ["document_id", "owner_name", "village", "status", "validation_status", "quality_score", "band", "to_json(issues) as issues"]
+    got, want = (sorted(map(tuple, x.selectExpr(*columns).collect()), key=repr) for x in (taken, read(rows)))
+    assert len(runs) == 3 and got == want and len(want) > 100

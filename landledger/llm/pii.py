@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
+#: The key of the registered query, whose results must be the same in every run. Real data needs a key of its own.
 KEY = "landledger"
 
 # The formats.
@@ -27,9 +28,17 @@ ADDRESS = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
 DATE = r"(?<![\d-])[12]\d{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
 DAY_FIRST = r"(?<![\d./])(?:0[1-9]|[12]\d|3[01])[./](?:0[1-9]|1[0-2])[./][12]\d{3}(?![\d./])"
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,}"
-#: A name in any case, then = or : with blanks and quotes around. The first two looks only turn most places away soon.
-NAMED = r"(?=[A-Za-z0-9_-]{8})(?<=[=:][ \t\"']{0,5})(?<=(?i:password|api[_ -]?key|token|secret)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)"
-SECRET = NAMED + r"[A-Za-z0-9_-]{8,}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+#: A name in any case, then = or : with blanks and quotes around.
+NAME = r"(?i:password|passwd|api[_ -]?key|token|secret)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?"
+VALUE = "A-Za-z0-9_+/=!@#$%^&*~-"
+#: The first two looks only turn most places away soon.
+NAMED = rf"(?=[{VALUE}]{{8}})(?<=[=:][ \t\"']{{0,5}})(?<={NAME})"
+BEARER = r"(?=[A-Za-z0-9._~+/=-]{16})(?<=(?i:bearer)[ \t])[A-Za-z0-9._~+/=-]{16,}"
+SECRET = NAMED + rf"[{VALUE}]{{8,}}|{BEARER}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])"
+#: What stands before a secret.
+LEAD = rf"(?:{NAME}|(?i:bearer)[ \t])$"
+#: Characters within which LEAD is looked for.
+LEAD_LENGTH = 32
 KINDS = {
     "mail": MAIL, "secret": SECRET, "date": DATE, "day_first": DAY_FIRST, "address": ADDRESS,
     "social": SOCIAL, "phone": PHONE, "bare_phone": BARE_PHONE, "card": CARD,
@@ -206,7 +215,7 @@ def _mail(text: Column, key: str) -> Column:
     return F.concat(_mixed(F.substr(text, F.lit(1), at - 1), key, "mail"), F.substr(text, at))
 
 
-def pseudonym(found: Column, key: str = KEY) -> Column:
+def pseudonym(found: Column, key: str) -> Column:
     """The pseudonym of one finding; what proves no valid number or date stays."""
 
     def whole(kind: str) -> Column:
@@ -223,21 +232,35 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with pseudonyms in the text, and n_found: the findings looked at.
+def _hidden(found: Column, before: Column, key: str) -> Column:
+    """The pseudonym of a finding after ``before``. A secret by name never stays, valid as a number or not."""
+    secret = F.right(before, F.lit(LEAD_LENGTH)).rlike(LEAD)
+    return F.element_at(
+        F.transform(F.array(pseudonym(found, key)), lambda p: F.when(secret & (p == found), _mixed(found, key, "secret")).otherwise(p)), 1
+    )
+
 
-    Found are mail addresses, secrets after a fixed name in any case and = or :, dates, network addresses, social
-    security, phone and card numbers. Numbers and dates that are not valid stay. Null text stays
-    null with 0 found. An input column n_found is replaced, all others stay. No rows give no rows.
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with pseudonyms under ``key`` in the text, and n_found: the findings looked at.
+
+    Whoever knows the key can turn pseudonyms back, so there is none by default.
+    Found are mail addresses, secrets after a fixed name in any case and = or :, or after bearer, dates, network addresses,
+    social security, phone and card numbers. Numbers and dates that are not valid stay, unless they are secrets by name.
+    Not found are foreign phone numbers, bank accounts, long network addresses and dates without leading zeros. Null text stays
+    null with 0 found. An input column n_found is replaced, all others stay. Equal texts stay equal, repeated rows stay
+    as many. No rows give no rows.
     """
     rest = docs.drop("n_found")
     found = F.when(F.col(text).rlike(ANY), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     looked = rest.select(F.struct("*").alias("rest"), found.alias("found"))
-    before = looked["rest"][text]
-    parts = F.zip_with(
-        F.split(before, ANY, -1), F.concat(F.transform("found", lambda m: pseudonym(m, key)), F.array(F.lit(""))), lambda a, b: F.concat(a, b)
-    )
-    new = F.when(F.col("found").isNull(), before).otherwise(F.array_join(parts, ""))
+    text_before = looked["rest"][text]
+    # What stands around the findings: one part more than these.
+    around = F.split(text_before, ANY, -1)
+    parts = F.transform(F.array(around), lambda a: F.zip_with(
+        a, F.concat(F.zip_with("found", F.slice(a, F.lit(1), F.size("found")), lambda m, b: _hidden(m, b, key)), F.array(F.lit(""))),
+        lambda x, y: F.concat(x, y),
+    ))
+    new = F.when(F.col("found").isNull(), text_before).otherwise(F.array_join(F.element_at(parts, 1), ""))
     return looked.select(
         *[new.alias(c) if c == text else F.col("rest")[c].alias(c) for c in rest.columns],
         F.when(F.col("found").isNull(), 0).otherwise(F.size("found")).cast("long").alias("n_found"),

@@ -14,7 +14,7 @@ from landledger.llm.line_dedup import drop_repeated_lines
 from landledger.llm.near_dup import near_duplicates
 from landledger.llm.packing import packed_documents
 from landledger.llm.passages import repeated_passages
-from landledger.llm.pii import pseudonymise
+from landledger.llm.pii import KEY, pseudonymise
 from landledger.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from landledger.llm.shards import slots_of, write_shards
 from landledger.llm.shared import table
@@ -150,7 +150,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
 @query()

@@ -22,12 +22,17 @@ LEAST_WORDS = 10
 REPEAT_PERCENT = 20
 
 # What the rules for lines look for.
-MARKS = ".!?:;,…。！？\"')]»”"
+MARKS = ".!?:;,…。！？\"')]»”।॥؟؛،۔"
 BARS = (" | ", " > ", " » ", " • ", " · ")
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "cookie policy", "terms of use", "terms of service", "we use cookies",
     "accept cookies", "accept all cookies", "enable javascript", "javascript is disabled", "lorem ipsum", "click here to",
     "back to top", "share on facebook", "share on twitter", "subscribe to our newsletter",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "wir verwenden cookies", "cookies akzeptieren",
+    "newsletter abonnieren", "nach oben", "tous droits réservés", "politique de confidentialité", "conditions d'utilisation",
+    "nous utilisons des cookies", "accepter les cookies", "haut de page", "abonnez-vous à notre newsletter",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "condiciones de uso", "utilizamos cookies",
+    "aceptar cookies", "volver arriba", "suscríbete a nuestro boletín",
 )
 #: Words from which on a line needs no mark at its end.
 LONG_LINE = 5

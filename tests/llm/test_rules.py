@@ -24,6 +24,8 @@ def test_rules_of_lines():
         ("", False), ("A plain line of six words", False), ("Too short", True), ("Too short.", False), ("Short \t", True),
         ("Home | About us | News | Contact us all", True), ("this | is | a | long line of more than twenty words that merely has some bars in it and goes on and on and on", False),
         ("Copyright by us, All Rights Reserved.", True), ("we## use** many%% symbols$$ here", True),
+        ("यह ठीक है।", False), ("यह ठीक है", True), ("هذا جيد؟", False), ("Firma X, Alle Rechte vorbehalten, seit 1990.", True),
+        ("Nous utilisons des cookies sur ce site.", True), ("Todos los derechos reservados por la casa.", True), ("Alle haben hier die gleichen Rechte.", False),
     ):
         assert line_fails(line, len(line.split())) is fails, line
 

@@ -282,7 +282,7 @@ def orders_intake(spark, sf):
 
 
 # Lines of orders are read with a confidence of 0.9; unsure is what does not look like its field.
-_UNLIKE = "+".join(f"CAST(coalesce({x}, false) AS BIGINT)" for x in ("regexp_matches(from_owner, '[0-9]')", "regexp_matches(to_owner, '[0-9]')", "share = 'whole'"))
+_UNLIKE = "+".join(f"CAST(coalesce({x}, false) AS BIGINT)" for x in ("regexp_matches(from_owner, '[0-9]')", "regexp_matches(to_owner, '[0-9]')", "NOT regexp_matches(share, '[0-9]')"))
 
 
 @query(f"""WITH previews AS ({ORACLES["order_preview"].replace(ORDER_UNSURE, _UNLIKE)}), fields AS ({oracle_with('v_orders')} SELECT document_id, {', '.join(fixed.ORDER_FIELDS)} FROM v_orders)

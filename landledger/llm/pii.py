@@ -33,7 +33,7 @@ NAME = r"(?i:password|passwd|api[_ -]?key|token|secret)[\"']?[ \t]{0,4}[=:][ \t]
 VALUE = "A-Za-z0-9_+/=!@#$%^&*~-"
 #: The first two looks only turn most places away soon.
 NAMED = rf"(?=[{VALUE}]{{8}})(?<=[=:][ \t\"']{{0,5}})(?<={NAME})"
-BEARER = r"(?=[A-Za-z0-9._~+/=-]{16})(?<=(?i:bearer)[ \t])[A-Za-z0-9._~+/=-]{16,}"
+BEARER = r"(?<=[rR][ \t])(?<=(?i:bearer)[ \t])[A-Za-z0-9._~+/=-]{16,}"
 SECRET = NAMED + rf"[{VALUE}]{{8,}}|{BEARER}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])"
 #: What stands before a secret.
 LEAD = rf"(?:{NAME}|(?i:bearer)[ \t])$"

@@ -219,6 +219,24 @@ def test_limiter_against_plain_loop(spark):
         assert got[r.request_id] == allowed
 
 
+def test_limiter_of_a_hot_caller_in_blocks(spark):
+    rng = random.Random(8)
+    for window, steps in ((5000, [0, 5, 300, 2000]), (40, [0, 0, 1, 2, 90]), (10**6, [1, 7]), (1, [0, 1, 3])):
+        at, rows = 0, []
+        for i in range(1500):
+            at += rng.choice(steps)
+            rows.append((rng.choice(["hot", "hot", "warm", "warm", None, f"c{i % 9}"]), i // 2 if i % 5 else i, None if i % 97 == 0 else at))
+        asked = spark.createDataFrame(rows, "caller string, request_id bigint, t bigint").selectExpr(
+            "caller", "request_id", "timestamp_millis(t) as at")
+        whole = limiter.request_limiter(asked, 3, window).collect()
+        split = limiter.request_limiter(asked.repartition(5), 3, window, block=40).collect()
+        assert sum(r.allowed for r in whole) not in (0, len(rows))
+        key = lambda r: (r.caller or "", r.at_ms or -1, r.request_id, r.allowed)
+        assert sorted(split, key=key) == sorted(whole, key=key)
+    none = asked.limit(0)
+    assert limiter.request_limiter(none, 3, 5000).count() == 0
+
+
 def test_streams_equal_their_batch_forms(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
     entries = trail(spark)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from landledger.session import ship
+from landledger.session import settle, ship
 
 BLOCK_ROWS = 4096
 
@@ -79,6 +79,16 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], block: str,
     )
 
 
+def with_rank(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """Add ``out``: the 1-based place of the row within its key, for an order that has no natural blocks.
+
+    Blocks are ranges of all rows by key and order, as even as Spark's sample makes them,
+    so that a key with many rows lies in several.
+    """
+    cut = settle(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    return with_position(cut, keys, order, "_range", out).drop("_range")
+
+
 def scan_sorted(
     df: DataFrame,
     keys: list[str],

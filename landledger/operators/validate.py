@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landledger import fixed
 from landledger.functions.names import compare_names
+from landledger.functions.ordered import with_rank
 from landledger.functions.text import filled, half_up, leading_number, number_text, quoted
 from landledger.operators.findings import FINDINGS, finding, gather
 from landledger.operators.places import fuzzy_place_join, place_pairs, with_keys
 from landledger.session import settle
 
-# Owner spellings per holding compared in the first pass.
-FIRST_LOOK = 4
+# Owner spellings per holding compared in the first round, and how much wider each next one is.
+FIRST_LOOK, WIDER = 4, 8
 
 
 def missing_fields() -> str:
@@ -114,9 +117,9 @@ def owner_conflicts(
 
     Columns: document_id, conflict_with, conflict_owner, score, verdict, subset. Each
     holding is reduced to its distinct owner spellings; a record is compared with the
-    earliest few of them, which nearly always settles it, and only records that are
-    still open go on to the rest. The answer is exact, and no holding is ever compared
-    pair by pair as a whole.
+    earliest few of them, which nearly always settles it. Records that are still open go
+    on to the next spellings, WIDER times as many from round to round, until they have met
+    one that differs or all there are. The answer is exact.
     """
     verified = records.filter("status = 'VERIFIED'") if verified is None else verified
     holding = ["khata_key", "village_key", "district_key"]
@@ -125,9 +128,9 @@ def owner_conflicts(
     ).select("document_id", *holding, F.col("owner_key").alias("my_key"))
     owners = with_keys(verified.filter("owner_name <> ''")).filter("khata_key <> ''")
     spelled = _two_smallest(owners, [*holding, "owner_key"], ["owner_name"])
-    by_first = Window.partitionBy(*holding).orderBy("first.document_id")
-    ranked = spelled.withColumn("rank", F.row_number().over(by_first))
-    pairs = place_pairs(left, ranked) if pairs is None else pairs
+    if pairs is None:
+        pairs = place_pairs(left, spelled)
+    ranked = settle(with_rank(spelled, holding, [F.col("first.document_id")], "rank"))
 
     def compared(mine: DataFrame, theirs: DataFrame) -> DataFrame:
         """Add ``hit`` where another record of the group names someone else."""
@@ -141,22 +144,24 @@ def owner_conflicts(
             )
         )
 
-    # The last spelling of a first look marks a holding that may have more. Both what is
-    # settled and what is open is read from the first look, so it is worked out once.
-    early = settle(
-        compared(left, ranked.filter(F.col("rank") <= first_look))
-        .groupBy("document_id", "my_key", *holding)
-        .agg(F.min("hit").alias("hit"), F.expr(f"min(if(rank = {first_look}, first.document_id, null)) as bound"))
-        .withColumn("settled", F.expr("coalesce(bound is null or hit.document_id <= bound, false)"))
-    )
-    late = compared(
-        early.filter("not settled").select("document_id", "my_key", *holding),
-        ranked.filter(F.col("rank") > first_look),
-    ).select("document_id", "hit")
+    # The last spelling of a round marks a holding that may have more; nothing after it comes
+    # before it, so a hit up to there is the first.
+    rounds, open_, done, reach = [], left, 0, first_look
+    while True:
+        met = settle(
+            compared(open_, ranked.filter((F.col("rank") > done) & (F.col("rank") <= reach)))
+            .groupBy("document_id", "my_key", *holding)
+            .agg(F.min("hit").alias("hit"), F.expr(f"min(if(rank = {reach}, first.document_id, null)) as bound"))
+        )
+        rounds.append(met.filter("hit is not null").select("document_id", "hit"))
+        open_ = met.filter("bound is not null and not coalesce(hit.document_id <= bound, false)").select(
+            "document_id", "my_key", *holding
+        )
+        if open_.isEmpty():
+            break
+        done, reach = reach, reach * WIDER
     return (
-        early.select("document_id", "hit")
-        .unionByName(late)
-        .filter("hit is not null")
+        reduce(DataFrame.unionByName, rounds)
         .groupBy("document_id")
         .agg(F.min("hit").alias("hit"))
         .selectExpr(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,20 @@ def test_first_look_never_changes_the_answer(spark):
     assert small == large and any(r[0] == 99 and r[1] == 50 for r in small)
 
 
+def test_rounds_over_like_villages_equal_one_look(spark):
+    rng = random.Random(21)
+    people = ["अनिल वर्मा", "अनिल वर्माा", "अनील वर्मा", "कमला देवी"]
+    rows = [
+        record(n, rng.choice(["VERIFIED", "VERIFIED", "PENDING"]), khasra_number=str(n), khata_number=rng.choice(["7", "8"]),
+               village=rng.choice(["रामपुर खुर्द कलां", "रामपुर खुर्द कला", "रामपर खुर्द कलां"]),
+               owner_name=rng.choice(people[:3] if n < 150 else people) + "ा" * rng.randrange(6))
+        for n in range(200)
+    ]
+    df = frame(spark, *rows)
+    looks = [{tuple(r) for r in validate.owner_conflicts(df, first_look=n).collect()} for n in (1, 3, 10**6)]
+    assert looks[0] == looks[1] == looks[2] and len(looks[0]) > 20
+
+
 def test_hot_holding_gives_the_same_at_any_partitioning(spark):
     rows = [record(n, "VERIFIED" if n % 2 else "PENDING", khasra_number=str(n % 3), owner_name=f"{'राम' if n % 5 else 'श्याम'} {n % 7}")
             for n in range(300)]

@@ -19,8 +19,9 @@ from landledger.functions.names import same_place
 from landledger.functions.text import folded, let, name_key, place_key, trim
 from landledger.session import settle
 
-# Names up to this length are blocked by their pieces, longer ones by length.
-PIECE_LIMIT = 48
+# Names up to this length are blocked by their pieces, longer ones by their rarest runs of GRAM letters:
+# the pieces of a long name get too many, the runs of a short one tell too little.
+PIECE_LIMIT, GRAM = 48, 4
 
 KEYS = {
     "khasra_number": {"khasra_key": folded("khasra_number"), "khasra_trim": trim("coalesce(khasra_number, '')")},
@@ -103,6 +104,36 @@ def _probe_keys(name: str) -> str:
     return f"array_distinct(flatten(transform({lengths}, n -> {for_length})))"
 
 
+def long_candidates(names: DataFrame) -> DataFrame:
+    """Pairs (kind, a, b) with b beyond PIECE_LIMIT and a no longer, every similar one among them.
+
+    An edit changes GRAM runs of letters at most, so of the runs of the longer name (with their
+    number where they recur) all but GRAM an edit are in the shorter one too. With runs in one
+    order for all names, both have a common one among their first GRAM an edit and one; the order
+    is by how many names hold a run, so that these are the rarest. Keys grow in proportion to the
+    length of a name, and nothing is compared for its length alone.
+    """
+    run = f"substring(name, i, {GRAM})"
+    runs = (
+        names.selectExpr("kind", "name", f"explode(transform(sequence(1, length(name) - {GRAM - 1}), i -> {run})) as run")
+        .groupBy("kind", "name", "run").agg(F.count("*").alias("n"))
+        .selectExpr("kind", "name", "run", "explode(sequence(1, int(n))) as copy")
+    )
+    held = runs.groupBy("kind", "run", "copy").agg(F.count("*").alias("holders"))
+    # The longest partner decides how many edits there may be.
+    first = f"{GRAM} * {_edits('int(length(name) * 100 div 85 + 1)')} + 1"
+    rarest = (
+        runs.join(held.filter("holders > 1"), ["kind", "run", "copy"], "left")
+        .groupBy("kind", "name")
+        .agg(F.array_sort(F.collect_list(F.expr("struct(coalesce(holders, 1) as holders, run, copy)"))).alias("runs"))
+        .selectExpr("kind", "name", f"inline(filter(slice(runs, 1, int({first})), r -> r.holders > 1))")
+    )
+    a = rarest.selectExpr("kind", "run", "copy", "name as a")
+    b = rarest.filter(F.length("name") > PIECE_LIMIT).selectExpr("kind", "run", "copy", "name as b")
+    reach = "a <> b and length(a) <= length(b) and length(b) - length(a) <= " + _edits("length(b)")
+    return a.join(b, ["kind", "run", "copy"]).filter(reach).select("kind", "a", "b").distinct()
+
+
 def similar_names(names: DataFrame) -> DataFrame:
     """All ordered pairs (kind, a, b) of similar distinct names, each with itself included.
 
@@ -110,7 +141,7 @@ def similar_names(names: DataFrame) -> DataFrame:
     with k edits allowed on the longer name it is cut into k//2 + 1 pieces, one of which
     must survive with at most one edit and a shift of at most k. Single-edit pieces are
     met by dropping one character, so a block only ever holds names that nearly share a
-    piece.
+    piece. Long names meet by their rarest runs of letters, which is exact too.
     """
     distinct = names.filter(F.length("name") > 0).distinct()
     short = distinct.filter(F.length("name") <= PIECE_LIMIT)
@@ -121,12 +152,7 @@ def similar_names(names: DataFrame) -> DataFrame:
     probe = short.selectExpr("kind", "name as a", f"explode({_probe_keys('name')}) as block")
     close = probe.join(index, ["kind", "block"]).filter(similar).select("kind", "a", "b")
 
-    # Beyond the limit the pieces get too many; such names are rare, and a band of
-    # lengths (with its neighbour) holds every partner.
-    band = "int(floor(ln(length(name)) / 0.17D))"
-    long_a = long.selectExpr("kind", "name as a", f"explode(array({band}, {band} + 1)) as band")
-    long_b = long.filter(F.length("name") > PIECE_LIMIT).selectExpr("kind", "name as b", f"{band} as band")
-    far = long_a.join(long_b, ["kind", "band"]).filter(similar).select("kind", "a", "b")
+    far = long_candidates(long).filter(similar).select("kind", "a", "b")
     both_ways = close.unionByName(far).selectExpr("kind", "inline(array(struct(a, b), struct(b as a, a as b)))")
     return distinct.selectExpr("kind", "name as a", "name as b").unionByName(both_ways).distinct()
 

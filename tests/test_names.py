@@ -66,6 +66,31 @@ def test_blocking_misses_no_pair(spark):
     assert got == want and len(want) > len(found)
 
 
+def test_blocking_of_long_names(spark):
+    # Names of 10 to 300 letters in two kinds, with a beginning that all have and runs that recur.
+    rng = random.Random(5)
+    found = set()
+    for n in [10, 30, 39, 44, 47, 49, 55, 57, 80, 120, 200, 300] * 3:
+        name = "gram panchayat "[:n // 2] + "".join(rng.choices("abcdefg ", k=n - n // 2))
+        if n % 4 == 0:
+            name = name[:n // 2] + "ab" * (n // 4)
+        found.add(name.strip())
+        for most in (1, n // 10, n * 15 // 100, n * 15 // 100 + 1):
+            chars = list(name)
+            for _ in range(most):
+                i = rng.randrange(len(chars))
+                chars[i:i + rng.randint(0, 1)] = rng.choice(["", "a", "h"])
+            found.add("".join(chars).strip())
+    df = spark.createDataFrame([(k, n) for n in found if n for k in ("p", "q")], "kind string, name string")
+    got = {(r.kind, r.a, r.b) for r in places.similar_names(df).collect()}
+    pairs = df.selectExpr("kind", "name as a").join(df.selectExpr("kind", "name as b"), "kind")
+    want = {(r.kind, r.a, r.b) for r in pairs.filter(names.same_place("a", "b")).collect()}
+    assert got == want and sum(len(a) > places.PIECE_LIMIT for _, a, b in want if a != b) > 50
+    # Names of like length that have nothing in common are not laid side by side.
+    apart = spark.createDataFrame([("p", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))) for _ in range(300)], "kind string, name string")
+    assert places.long_candidates(apart).count() < 450
+
+
 def test_place_pairs_are_not_transitive(spark):
     rows = [("aaaaaaaa", "d"), ("aaaaaaab", "d"), ("aaaaaabb", "d"), ("aaaaaaaa", "zz")]
     pairs = places.place_pairs(spark.createDataFrame(rows, "village_key string, district_key string"))

@@ -303,3 +303,11 @@ def test_numbers_in_canonical_json(spark):
     long = json.dumps({"a": "\"\\" * 20000, "n": 1.0}).replace(" ", "")
     assert spark.createDataFrame([(long,)], "j string").selectExpr(f"{audit.canonical_json('j')} as c").first().c == long.replace("1.0", "1")
     assert spark.sql("select '{x' as j").selectExpr(f"{audit.canonical_json('j')} as c").first().c is None
+
+
+def test_an_id_twice_in_a_register(spark):
+    twice = [entry(3, "SALE", "राम", taker, "1", "2001-01-01", "M-3") for taker in ("मोहन", "सोहन")]
+    rows = [FIRST, *twice, entry(4, "SALE", "राम", "गीता", "1", "2002-01-01", "M-4", supersedes=103)]
+    positions = chain.correction_position(spark.createDataFrame(rows, ENTRY)).collect()
+    assert [(r.id, r.position) for r in positions] == [(104, 3)]
+    assert sorted(r.id for r in chain.standing_entries(spark.createDataFrame(rows, ENTRY)).collect()) == [101, 104]

@@ -311,3 +311,10 @@ def test_an_id_twice_in_a_register(spark):
     positions = chain.correction_position(spark.createDataFrame(rows, ENTRY)).collect()
     assert [(r.id, r.position) for r in positions] == [(104, 3)]
     assert sorted(r.id for r in chain.standing_entries(spark.createDataFrame(rows, ENTRY)).collect()) == [101, 104]
+
+
+def test_first_number_twice_at_one_place(spark):
+    twice = [entry(2, "SALE", "राम", taker, "1", "2001-01-01", "M-2") for taker in ("मोहन", "सोहन", "गीता")]
+    standing = chain.standing_entries(spark.createDataFrame([FIRST, *twice, entry(5, "SALE", "राम", "सीता", "1", "2002-01-01", "M-2")], ENTRY))
+    found = chain.duplicate_numbers(standing).collect()
+    assert sorted((r.seq, r.params["first"]) for r in found) == [(2, "2"), (2, "2"), (5, "2")]

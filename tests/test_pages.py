@@ -172,3 +172,15 @@ def test_stream_killed_and_restarted(spark):
     columns = ["document_id", "owner_name", "village", "status", "validation_status", "quality_score", "band", "to_json(issues) as issues"]
     got, want = (sorted(map(tuple, x.selectExpr(*columns).collect()), key=repr) for x in (taken, read(rows)))
     assert len(runs) == 3 and got == want and len(want) > 100
+
+
+def test_order_accuracy_reads_its_rows_once(spark, monkeypatch):
+    readings = views.order_readings
+    anyone = F.udf(lambda: "".join(random.choices("abcdefghijklmnop", k=12))).asNondeterministic()
+
+    def undecided(*where):
+        return readings(*where).withColumn("from_owner", anyone())
+
+    monkeypatch.setattr(views, "order_readings", undecided)
+    of = {r.field: r for r in catalog.QUERIES["order_accuracy"](spark, "/root/testdata/sf0.001").collect()}
+    assert of["from_owner"].usable == of["from_owner"].total > 0

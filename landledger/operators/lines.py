@@ -10,23 +10,54 @@ from landledger.functions.text import BLANK, pattern
 from landledger.session import settle
 
 NEAR_DOWN, NEAR_ACROSS = 20, 40
+# Words up to which a page's equal words are taken one at a time.
+PAGE_LIMIT = 2048
 
 
-def words_dedupe(words: DataFrame) -> DataFrame:
+def words_dedupe(words: DataFrame, page_limit: int = PAGE_LIMIT) -> DataFrame:
     """Keep the most confident of equal words read at the same spot.
 
     ``words`` has document_id, word_no, text, confidence, x, y, height. Of words of one text
     on one page the most confident is kept (the smaller word_no among equals), those less than 20 px
-    down and 40 px across from it go, and so on. Here all words that no open rival outranks are kept at once: they are what
-    taking one at a time would keep, for nothing that could have removed them is left. What lies near
-    them goes, and the rest has its next round. Words without an equal on their page take no part in
-    this, nor do those without a place, which are kept.
+    down and 40 px across from it go, and so on. Words without a place take no part in this and are
+    kept. A page of up to ``page_limit`` words travels once, its equal words together; those of longer
+    pages are kept in rounds, spread over all tasks. Both ways keep the same words.
     """
-    columns = ["document_id", "text", "word_no", "confidence", "x", "y", "height"]
     plain = words.selectExpr(
         "document_id", "text", "cast(word_no as bigint) as word_no", "cast(confidence as double) as confidence",
         "cast(x as double) as x", "cast(y as double) as y", "cast(height as double) as height",
     )
+    long = settle(
+        plain.groupBy("document_id").agg(F.count("*").alias("n")).filter(F.col("n") > page_limit)
+        .select(F.col("document_id").alias("long_document"))
+    )
+    if long.isEmpty():
+        return _taken_in_turn(plain)
+    of_long = F.col("document_id").eqNullSafe(F.col("long_document"))
+    short = _taken_in_turn(plain.join(long, of_long, "left_anti"))
+    return short.unionByName(_kept_in_rounds(plain.join(long, of_long, "left_semi")))
+
+
+def _taken_in_turn(words: DataFrame) -> DataFrame:
+    """The words kept when equal words of a page are taken one at a time, best first."""
+    near = f"coalesce(abs(o.x - w.x) < {NEAR_ACROSS} and abs(o.y - w.y) < {NEAR_DOWN}, false)"
+    kept = f"aggregate(slice(met, 2, size(met)), slice(met, 1, 1), (acc, w) -> if(exists(acc, o -> {near}), acc, array_append(acc, w)))"
+    return (
+        words.groupBy("document_id", "text")
+        .agg(F.expr("array_sort(collect_list(struct(-confidence as less, word_no, x, y, height))) as met"))
+        .selectExpr("document_id", "text", f"inline(if(size(met) = 1, met, {kept}))")
+        .selectExpr("document_id", "text", "word_no", "-less as confidence", "x", "y", "height")
+    )
+
+
+def _kept_in_rounds(plain: DataFrame) -> DataFrame:
+    """The same for pages of any length.
+
+    All words that no open rival outranks are kept at once: they are what taking one at a time
+    would keep, for nothing that could have removed them is left. What lies near them goes, and the
+    rest has its next round. Words without an equal on their page take no part in this.
+    """
+    columns = ["document_id", "text", "word_no", "confidence", "x", "y", "height"]
     # Words at the very same spot share the fate of the best of them, so only that one takes part.
     spots = plain.filter("x is not null and y is not null").groupBy("document_id", "text", "x", "y").agg(
         F.expr("min_by(struct(confidence, height, word_no), struct(-confidence, word_no)) as best")

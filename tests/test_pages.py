@@ -184,3 +184,17 @@ def test_order_accuracy_reads_its_rows_once(spark, monkeypatch):
     monkeypatch.setattr(views, "order_readings", undecided)
     of = {r.field: r for r in catalog.QUERIES["order_accuracy"](spark, "/root/testdata/sf0.001").collect()}
     assert of["from_owner"].usable == of["from_owner"].total > 0
+
+
+def test_dedupe_stores_nothing_of_short_pages(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(d, n, rng.choice("ab"), float(rng.randrange(60, 70)), float(rng.randrange(0, 200, 13)), float(rng.randrange(0, 80, 7)), 9.0)
+            for d in range(6) for n in range(20 + 5 * d)]
+    rows += [(d, 100, "a", None, 20.0, 20.0, 9.0) for d in range(6)] + [(5, 101, "a", 99.0, None, 5.0, 9.0), (5, 102, "a", 99.0, 5.0, None, 9.0)]
+    words = spark.createDataFrame(rows, WORDS).repartition(3)
+    in_rounds = sorted(map(str, lines.words_dedupe(words, page_limit=0).collect()))
+    assert 12 < len(in_rounds) < len(rows) and in_rounds == sorted(map(str, lines.words_dedupe(words, page_limit=33).collect()))
+    stored, settle = [], lines.settle
+    monkeypatch.setattr(lines, "settle", lambda df: (stored.append(df.count()), settle(df))[1])
+    assert in_rounds == sorted(map(str, lines.words_dedupe(words).collect()))
+    assert sum(stored) == 0

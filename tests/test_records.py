@@ -194,3 +194,13 @@ def test_rendering_in_another_language(spark):
         "locale string, key string, one string, other string"))
     assert findings.render_findings(rows, catalogue, "hi").first().rendered == "खसरा संख्या नहीं है"
     assert findings.render_findings(rows, catalogue, "en").first().rendered == "Khasra number is missing"
+
+
+@pytest.mark.parametrize("name, said", [("confidence_checks", "Low confidence")])
+def test_findings_are_worked_out_once(spark, name, said):
+    from landledger import catalog
+
+    catalog.load()
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    holding = [line for line in plan.toString().split("\n") if said in line]
+    assert len(holding) == 1 and not holding[0].lstrip(" :+-").startswith("Filter")

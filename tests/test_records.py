@@ -196,7 +196,7 @@ def test_rendering_in_another_language(spark):
     assert findings.render_findings(rows, catalogue, "en").first().rendered == "Khasra number is missing"
 
 
-@pytest.mark.parametrize("name, said", [("confidence_checks", "Low confidence")])
+@pytest.mark.parametrize("name, said", [("confidence_checks", "Low confidence"), ("quality_deductions", "read with low confidence: ")])
 def test_findings_are_worked_out_once(spark, name, said):
     from landledger import catalog
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landledger import catalog, fixed
+from landledger.functions import labels
 from landledger.operators import cadastral, extract, lines
 from landledger.plans import views
 from landledger.sources import tables
@@ -198,3 +199,19 @@ def test_dedupe_stores_nothing_of_short_pages(spark, monkeypatch):
     monkeypatch.setattr(lines, "settle", lambda df: (stored.append(df.count()), settle(df))[1])
     assert in_rounds == sorted(map(str, lines.words_dedupe(words).collect()))
     assert sum(stored) == 0
+
+
+def test_reading_binds_no_names(spark):
+    """A field read by plain columns is what the one expression for it says, on odd lines too."""
+    ends = ["", " ", "|", " ha", " HA.", "7", "7 ha", "* ", ")", "\u00a0", "हेक्टेयर", "a\n"]
+    fronts = ["Plot area: ", "AREA", "plot\u00a0area . no: ", "area (in ha) : ", "area - : no - (x) - ", "रकबा रकबा: सं ", "क्षेत्रफल : ", "are a", "\u212Ahata No. "]
+    texts = [f + m + e for f in fronts for m in ("", "1.25", "3 acre", "12 / 7", "x 1.5 y", "-- no") for e in ends]
+    df = spark.createDataFrame([(n, 0, t, 0.9) for n, t in enumerate(texts)], "document_id long, line_no int, text string, confidence double")
+    read = extract.extract_fields(df)
+    assert "transform(" not in read._jdf.queryExecution().optimizedPlan().toString()
+    devanagari, latin = fixed.RECORD_DEVANAGARI["plot_area"], fixed.RECORD_LATIN["plot_area"]
+    flagged = df.withColumns({k: F.expr(v) for k, v in labels.script_flags("text").items()})
+    whole = flagged.withColumn("rest", F.expr(labels.match_label("text", devanagari, latin))).selectExpr(
+        "document_id", labels.clean_value("rest", devanagari, labels.shape_of("plot_area"), True) + " as plot_area"
+    )
+    assert sorted(whole.collect()) == sorted(read.select("document_id", "plot_area").collect())

@@ -9,11 +9,15 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
+from landledger.catalog.chains import decided_orders
 from landledger.functions import shares
-from landledger.operators import audit, chain, limiter, orders
+from landledger.operators import audit, chain, limiter, orders, validate
+from landledger.plans import evidence, views
 from landledger.streaming.audit import stream_audit
 from landledger.streaming.limiter import stream_limiter
 
+SF = "/root/testdata/sf0.001"
+
 NOW = "2026-09-11"
 ENTRY = (
     "parcel_id bigint, id bigint, seq int, type string, from_owner string, to_owner string, share string, "
@@ -318,3 +322,22 @@ def test_first_number_twice_at_one_place(spark):
     standing = chain.standing_entries(spark.createDataFrame([FIRST, *twice, entry(5, "SALE", "राम", "सीता", "1", "2002-01-01", "M-2")], ENTRY))
     found = chain.duplicate_numbers(standing).collect()
     assert sorted((r.seq, r.params["first"]) for r in found) == [(2, "2"), (2, "2"), (5, "2")]
+
+
+def test_a_register_is_worked_out_once(spark):
+    mutations = views.mutations(spark, SF)
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            asked.add(batch.num_rows)
+            yield batch
+
+    n, seen = mutations.count(), mutations.mapInArrow(counted, mutations.schema)
+    chain.standing_entries(seen).count()
+    assert asked.value == n
+    rescored = evidence.rescore_parcels(
+        validate.validate_records(views.records(spark, SF)), views.sources(spark, SF), views.parcels(spark, SF), seen,
+        views.order_readings(spark, SF), decided_orders(spark, SF), views.NOW,
+    )
+    assert rescored.count() > 0 and asked.value == 2 * n

@@ -49,8 +49,9 @@ class Encoder(dict):
     """
 
     END = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n])")
-    #: One word as it is, so the rules that cut and normalise words are not needed.
-    PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+    #: ASCII but A-Z and the letters of Latin-1: normalising only lower-cases these, so a part is cut here by the tokenizer's rules.
+    KNOWN = re.compile("[\x00-@\\[-\x7fß-öø-ÿ]+").fullmatch
+    WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^\\x20\\x09-\\x0Da-z0-9ß-öø-ÿ]+").findall
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,12 +72,15 @@ class Encoder(dict):
         return raw
 
     def encoded(self, part: bytes) -> bytes:
-        word = part.decode()
-        if self.PLAIN(word):
-            letters = word if part.isascii() else part.decode("latin-1").translate(LETTERS)
-            ids = [t.id for t in self.model.tokenize(letters)]
+        if part.isalpha() and part.islower():
+            ids = [t.id for t in self.model.tokenize(part.decode())]
+        elif b"<|" not in part and self.KNOWN(word := part.decode().lower()):
+            words = self.WORDS(word)
+            if words != [part.decode()]:
+                return b"".join([self[w.encode()] for w in words])
+            ids = [t.id for t in self.model.tokenize(part.decode("latin-1").translate(LETTERS))]
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:

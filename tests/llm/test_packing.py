@@ -76,3 +76,13 @@ def test_documents(spark):
             assert filled[r.sequence_id][r.offset:r.offset + r.length] == part
         assert sum(r.length for r in by_doc[i]) == len(ids) * (1 + (i < 3))
     assert packed_documents(docs.limit(0)).count() == 0
+
+
+def test_words_of_latin_letters_are_cut_without_the_whole_tokenizer():
+    encode = Encoder(PATH)
+    texts = ["Élan n'était qu'un «mot»", "a1b22--'re 3fdf,5a.x\tÀ\x1cÿ", "don't ''s x's É's ẞ K", "\x00\x7f é!? ...\n.,"]
+    right = [whole(t) for t in texts]
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == right
+    encode.clear()
+    encode.tokenizer = None
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts[1:]] == right[1:]

@@ -218,3 +218,16 @@ def test_names_of_records_are_worked_out_once_for_all_joins(spark):
     assert validate.validate_records(df.withColumn("village", seen("village"))).count() == 40
     # Once for the keys; at most once more for the records that go out.
     assert read.value <= 80
+
+
+def test_source_findings_are_not_worked_out_again_in_a_filter(spark):
+    df = frame(spark, record(1, owner_name="अनिल वर्मा", khasra_number="1"), record(2, khasra_number="2"))
+    sources = df.selectExpr(
+        "'ROR' as source", "khasra_number", "village", "district", "if(document_id = 1, 'कमला देवी', owner_name) as owner_name",
+        "khata_number", "plot_area", "land_classification", "timestamp'2026-01-01' as as_of",
+    )
+    found = reconcile.reconciliation_findings(df, sources, "2026-09-11")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" in plan
+    assert not [line for line in plan.splitlines() if "Filter" in line and "levenshtein" in line]
+    assert [(r.document_id, [i.code for i in r.issues]) for r in found.collect()] == [(1, ["reconOwnerDiffers"])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +48,12 @@ def token_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, piece, length, ids (little-endian unsigned 16-bit) of the pieces of every document with its end id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_encoder(tokenizer)
+        encode, end = worker_encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for some in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 rows = []
                 for key, t in zip(some.column(0).to_pylist(), some.column(1)):
-                    ids = np.append(np.frombuffer(encode(t.as_py() or ""), "<u4"), END_ID)
+                    ids = np.frombuffer(encode(t.as_py() or "") + end, "<u4")
                     if ids.max() >= 2**16:
                         raise ValueError("ids of 16 bits do not hold this vocabulary")
                     raw = ids.astype("<u2").tobytes()
@@ -90,15 +91,15 @@ def write_shards(docs: DataFrame, key: int = KEY, tokens: int = TOKENS, shard: i
     based = docs.sparkSession.createDataFrame(bases, "file string, base long")
     numbered = placed_in.join(F.broadcast(based), "file").withColumn("place", F.col("base") + F.col("at"))
 
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = slots(batch.column(4).to_numpy(), count, key)
-            made = [pa.array(x, pa.int64()) for x in (slot, slot // shard, slot - slot % row)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], ["doc_id", "piece", "length", "ids", "slot", "shard", "first_slot"])
+    @F.pandas_udf("long")
+    def slot_of(place: pd.Series) -> pd.Series:
+        return pd.Series(slots(place.to_numpy(), count, key))
 
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, length int, ids binary, slot long, shard long, first_slot long"
-    placed = numbered.select("doc_id", "piece", "length", "ids", "place").mapInArrow(place, schema)
+    # Only the numbers go through Python here, the sequences stay where they are.
+    slot, kind = F.col("slot"), pieces.schema["doc_id"].dataType.simpleString()
+    placed = numbered.withColumn("slot", slot_of("place")).select(
+        "doc_id", "piece", "length", "ids", "slot", F.expr(f"slot div {shard}").alias("shard"), (slot - slot % row).alias("first_slot")
+    )
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

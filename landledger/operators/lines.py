@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from landledger import fixed
 from landledger.functions.ordered import union_all
 from landledger.functions.text import BLANK, pattern
 from landledger.session import settle
@@ -120,22 +121,28 @@ def words_to_lines(words: DataFrame) -> DataFrame:
     to right; an immediate repeat is dropped.
     """
     page = Window.partitionBy("document_id").orderBy("y", "word_no")
-    typical = words.groupBy("document_id").agg(F.expr("percentile(height, 0.5D)").alias("typical"))
+    whole = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tolerance = "greatest(if(typical = 0, 20.0D, typical) * 0.6D, 12.0D)"
+    # All three look at a page in one order, so that its words travel and are sorted once.
     cut = (
-        words.join(typical, "document_id")
+        words.filter("document_id is not null")
+        .withColumn("typical", F.expr("percentile(height, 0.5D)").over(whole))
         .withColumn("step", F.col("y") - F.lag("y").over(page))
         .withColumn("breaks", F.expr(f"int(coalesce(step > {tolerance}, false))"))
         .withColumn("island", F.sum("breaks").over(page.rowsBetween(Window.unboundedPreceding, 0)))
     )
     # Words of equal x keep the order they were met in, which is down the page.
-    packed = "transform(array_sort(collect_list(struct(x, y, word_no, text))), w -> w.text)"
-    without_repeats = "filter(parts, (p, i) -> i = 0 or p <> parts[i - 1])"
+    packed = "sort_array(collect_list(struct(x, y, word_no, text))).text"
+    joined = "array_join(if(size(parts) = 1, parts, filter(parts, (p, i) -> i = 0 or p <> parts[i - 1])), ' ')"
+    # Most lines hold single spaces alone and need not be written anew.
+    odd = pattern(f"[{fixed.BLANKS.replace(' ', '')}]|  ")
+    text = f"trim(if(joined rlike {odd}, regexp_replace(joined, {pattern(BLANK + '+')}, ' '), joined))"
     lines = (
         cut.groupBy("document_id", "island")
         .agg(F.expr(f"{packed} as parts"), F.expr("round(min(confidence) / 100.0D, 4) as confidence"))
-        .withColumn("text", F.expr(f"regexp_replace(array_join({without_repeats}, ' '), {pattern(BLANK + '+')}, ' ')"))
-        .withColumn("text", F.expr(f"regexp_replace(text, {pattern('^ | $')}, '')"))
+        # Spread out of an array, a value is not worked out again in the filter on it.
+        .selectExpr("document_id", "island", "confidence", f"explode(array({joined})) as joined")
+        .selectExpr("document_id", "island", "confidence", f"explode(array({text})) as text")
         .filter("text <> ''")
     )
     numbered = Window.partitionBy("document_id").orderBy("island")

@@ -63,6 +63,14 @@ def test_words_follow_the_word_before(spark):
     assert [(r.text, r.confidence) for r in got] == [("a c d", 0.87), ("next", 0.5)]
 
 
+def test_lines_are_put_together_once(spark):
+    # The text of a line is not worked out again in the filter on it, and words travel once.
+    df = lines.words_to_lines(spark.createDataFrame([(1, 0, "a\u00a0b ", 90.0, 0.0, 0.0, 10.0), (None, 1, "c", 90.0, 0.0, 0.0, 10.0)], WORDS))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(") == 1 and plan.count("percentile(") == 1 and "Join " not in plan
+    assert [tuple(r) for r in df.collect()] == [(1, 0, "a b", 0.9)]
+
+
 def test_dedupe_is_greedy_by_confidence(spark):
     # b lies near a and c; a is surest, so b goes and c stays.
     rows = [(1, 0, "w", 90.0, 0.0, 0.0, 1.0), (1, 1, "w", 80.0, 30.0, 0.0, 1.0), (1, 2, "w", 70.0, 60.0, 0.0, 1.0), (1, 3, "v", 1.0, 0.0, 0.0, 1.0)]

@@ -6,8 +6,10 @@ import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from landledger.operators import chain
+from landledger import fixed
+from landledger.operators import chain, orders
 from landledger.operators.chain import Previews, Register
 
 NAMES = ["ram prasad", "shri ram prasad", "ram prasadh", "shyam lal", "mohan", "gita devi", "gita", "devi gita", "anil k", "sunita"]
@@ -82,3 +84,30 @@ def test_orders_without_a_register(spark):
     assert sorted((r.document_id, r.row_kind, r.kind) for r in rows) == [
         (7, "fork", "sharesExceedWhole"), (7, "fork", "titleNotTraced"), (8, "fork", "sharesExceedWhole"), (8, "fork", "titleNotTraced"),
     ]
+
+
+def test_registers_and_orders_are_worked_out_once(spark):
+    looked = {"entries": spark.sparkContext.accumulator(0), "orders": spark.sparkContext.accumulator(0)}
+
+    def counted(which, kind):
+        def look(value):
+            looked[which].add(1)
+            return value
+        return F.udf(look, kind).asNondeterministic()
+
+    entries = [(8, 1, 1, "ORIGINAL", "1", "asha", None, "M-1", date(2001, 1, 1), None), (9, 2, 1, "ORIGINAL", "1", "ravi", None, "M-2", date(2001, 1, 1), None)]
+    columns = (
+        "id bigint, parcel_id bigint, seq int, type string, share string, to_owner string, from_owner string, mutation_number string, "
+        "effective_date date, supersedes_id bigint"
+    )
+    register = spark.createDataFrame(entries, columns).withColumn("seq", counted("entries", "int")("seq"))
+    parcels = spark.createDataFrame([(1, "5", "rampur", "east", "t"), (2, "6", "rampur", "east", "t")], "parcel_id bigint, khasra_number string, village string, district string, tehsil string")
+    order = (7, "5/2025", "01/02/2025", "Sale", "mina", "zoya", "1/2", None, "5", "rampur", "east")
+    read = spark.createDataFrame([order], "document_id bigint, " + ", ".join(f"{f} string" for f in fixed.ORDER_FIELDS))
+    read = read.withColumn("confidence", F.expr("map('share', 0.9D)")).withColumn("khasra_number", counted("orders", "string")("khasra_number"))
+    got = orders.order_preview(read, parcels, register, "2026-09-11").collect()
+    assert [(r.document_id, r.parcel_id, r.introduced) for r in got] == [(7, 1, ["chainBreak"])]
+    assert {k: v.value for k, v in looked.items()} == {"entries": 2, "orders": 1}
+    # Registers for which nothing is proposed are not replayed.
+    asked = register.withColumn("document_id", F.expr("if(parcel_id = 1, 7L, null)"))
+    assert {r.parcel_id for r in chain.forked_replay(register, asked.filter("parcel_id = 1")).collect()} == {1}

@@ -223,3 +223,13 @@ def test_reading_binds_no_names(spark):
         "document_id", labels.clean_value("rest", devanagari, labels.shape_of("plot_area"), True) + " as plot_area"
     )
     assert sorted(whole.collect()) == sorted(read.select("document_id", "plot_area").collect())
+
+
+def test_heavy_tables_are_dealt_out_by_rows(spark, monkeypatch):
+    # What a task sorts does not grow with the table.
+    sf_dir, cores = "/root/testdata/sf0.001", spark.sparkContext.defaultParallelism
+    assert views.base(spark, sf_dir, "orders").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    orders = views.base(spark, sf_dir, "orders")
+    assert orders.rdd.getNumPartitions() == 15 > cores and orders.count() == 1500
+    assert views.base(spark, sf_dir, "lineitem").rdd.getNumPartitions() < 15

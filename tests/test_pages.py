@@ -17,7 +17,7 @@ from landledger.sources import tables
 from landledger.streaming.intake import stream_intake, take_in
 
 catalog.load()
-from landledger.catalog.pages import khatauni_reader  # noqa: E402
+from landledger.catalog.pages import khatauni_reader, misread_lines  # noqa: E402
 
 LINES = "document_id bigint, line_no int, text string, confidence double"
 
@@ -233,3 +233,16 @@ def test_heavy_tables_are_dealt_out_by_rows(spark, monkeypatch):
     orders = views.base(spark, sf_dir, "orders")
     assert orders.rdd.getNumPartitions() == 15 > cores and orders.count() == 1500
     assert views.base(spark, sf_dir, "lineitem").rdd.getNumPartitions() < 15
+
+
+def test_intake_puts_misread_places_right(spark):
+    # One district in nine is misread and one village in four, but for those spelled -bur.
+    sf_dir = "/root/testdata/sf0.001"
+    of = {r.document_id: r for r in views.view(spark, sf_dir, "v_records").filter("document_id % 36 = 0 and document_id % 10 <> 0").collect()}
+    lines_ = misread_lines(spark, sf_dir).filter("document_id % 36 = 0")
+    assert lines_.filter("text like '%purr%' or text like '%distrikt%'").select("document_id").distinct().count() >= len(of) > 5
+    got = {r.document_id: r for r in khatauni_reader(spark, sf_dir)(lines_).collect()}
+    assert got.keys() == of.keys() and all((got[k].village, got[k].district) == (of[k].village, of[k].district) for k in of)
+    learned = {k: sorted(i.field for i in r.issues if i.code == "learned") for k, r in got.items()}
+    assert all(learned[k] == (["district"] if k % 19 == 0 else ["district", "village"]) for k in of)
+    assert all(got[k].confidence["district"] == 0.95 for k in of)

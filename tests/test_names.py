@@ -33,6 +33,17 @@ def test_column_and_python_forms_agree(spark):
         assert (r.v == "same") == same_person(r.a, r.b), r
 
 
+def test_agreeing_is_the_verdict_same(spark):
+    rng = random.Random(11)
+    words = ["राम", "रामू", "देवी", "kumar", "kumer", "ram", "rama", "of", "shri", "verma", "varma", "abcdefghijklmnopqrst", "abcdefghijklmnopqrsu"]
+    pairs = [tuple(" ".join(rng.choices(words, k=rng.randint(0, 5))) for _ in "ab") for _ in range(600)]
+    long = [" ".join(f"word{chr(97 + i)}{chr(98 + i)}" for i in range(n)) for n in (22, 23, 24, 25)]
+    df = spark.createDataFrame(pairs + PAIRS + [(a, b) for a in long for b in long], "a string, b string")
+    a, b = text.name_key("a"), text.name_key("b")
+    got = df.selectExpr(f"{names.compare_names(a, b)}.verdict = 'same' as same", f"{names.names_agree(a, b)} as agree").collect()
+    assert all(r.same == r.agree for r in got) and 10 < sum(r.agree for r in got) < len(got)
+
+
 def test_blanks_are_unicode(spark):
     df = spark.createDataFrame([("  x　",), (" ",), (None,)], "v string")
     assert [r[0] for r in df.selectExpr(text.folded("v")).collect()] == ["x", "", ""]

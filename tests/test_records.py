@@ -230,3 +230,12 @@ def test_source_findings_are_not_worked_out_again_in_a_filter(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len([line for line in plan.splitlines() if "levenshtein" in line]) == 1
     assert [(r.document_id, [i.code for i in r.issues]) for r in found.collect()] == [(1, ["reconOwnerDiffers"])]
+
+
+def test_few_spellings_are_met_in_many_tasks(spark, monkeypatch):
+    # A small table of spellings lies in one task, which would compare all records sent to it.
+    parts, join = [], validate.fuzzy_place_join
+    monkeypatch.setattr(validate, "fuzzy_place_join", lambda a, b, *x: (parts.append(b.rdd.getNumPartitions()), join(a, b, *x))[1])
+    rows = [record(i, "VERIFIED", owner_name=n) for i, n in enumerate(["राम लाल", "रमेश कुमार", "गोपाल"], 1)] + [record(9, owner_name="सीता देवी")]
+    got = {r.document_id: r.conflict_with for r in validate.owner_conflicts(frame(spark, *rows)).collect()}
+    assert min(parts) >= spark.sparkContext.defaultParallelism and got[9] == 1 and got[1] == 2

@@ -341,3 +341,25 @@ def test_a_register_is_worked_out_once(spark):
         views.order_readings(spark, SF), decided_orders(spark, SF), views.NOW,
     )
     assert rescored.count() > 0 and asked.value == 2 * n
+
+
+def test_holders_keys_are_spelled_out_once(spark):
+    holders = "array<struct<owner:string,share:string,since:date>>"
+    replay = spark.createDataFrame(
+        [(1, "end", [("Shri Ram Lal", "1/2", None), ("Sita", "1/2", None)]), (2, "end", [("Mohan", "1", None)]), (3, "finding", None)],
+        f"parcel_id long, row_kind string, holders {holders}",
+    )
+    owners = spark.createDataFrame([(10, 1, "ram lal"), (11, 1, "gopal"), (12, 2, "mohan"), (13, 3, "x")], "document_id long, parcel_id long, owner_name string")
+    found = chain.owner_vs_chain(owners, replay)
+    # Once for owners and once for holders.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert {r.document_id: r.issues[0].code for r in found.collect()} == {10: "unlistedCoOwners", 11: "unrecordedTransfer"}
+
+
+def test_wide_evidence_is_kept_in_tables(spark, monkeypatch):
+    # Checkpoints are not compressed and are read whole; only ids go there.
+    sf_dir, kept, settle = "/root/testdata/sf0.001", [], evidence.settle
+    monkeypatch.setattr(evidence, "settle", lambda df: (kept.append(df.columns), settle(df))[1])
+    found = evidence.Evidence(views.records(spark, sf_dir), views.sources(spark, sf_dir), views.parcels(spark, sf_dir), views.mutations(spark, sf_dir), views.NOW)
+    assert kept == [["document_id", "parcel_id"]]
+    assert found.replay.filter("row_kind = 'end'").count() == found.standing.select("parcel_id").distinct().count() > 0
